@@ -38,7 +38,7 @@ from termloom.llm.common import as_bytes, cut
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # no word holds white space
-HEAD = 150_000  # tokens whose counts are sent out
+HEAD = 100_000  # tokens whose counts are sent out
 CLASSES, MEMBERS, HIDDEN = 32, 32, 16
 SHORT = CLASSES * MEMBERS
 WINDOW, CHUNK, STEP = 33, 16, 8192
@@ -78,6 +78,23 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
+    """The tokens of the highest counts, at most `most`, most frequent first.
+
+    A histogram over steps of the logarithm gives the least count, so that no task sends
+    more than its share of the list.
+    """
+    step = F.floor(F.log2("c") * 16)
+    taken, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["step"]):
+        if taken + r["n"] > most:
+            break
+        taken, least = taken + r["n"], r["c"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def start_params(counts: np.ndarray) -> dict[str, np.ndarray]:
     """Weights of a model that starts out as the unigram of the short list's counts."""
     rng = np.random.default_rng(1)
@@ -121,6 +138,7 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 
 def log_probs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after state h: its class, then the member."""
+    target = target.astype(np.int64)
     cls, member = target // MEMBERS, target % MEMBERS
     out = np.take_along_axis(log_softmax(h @ p["wc"] + p["bc"]), cls[:, None], 1)[:, 0].astype(np.float64)
     order = np.argsort(cls, kind="stable")
@@ -270,7 +288,7 @@ class Scorer:
     def __init__(self, head: list[tuple[bytes, int]], short: dict[bytes, int], params: dict[str, np.ndarray], total: float):
         self.at = {w: i for i, (w, _) in enumerate(head)}
         self.logs = np.log10((np.array([c for _, c in head], np.float64) + 1) / total)
-        self.short = np.array([short.get(w, 0) for w, _ in head], np.int64)
+        self.short = np.array([short.get(w, 0) for w, _ in head], np.int16)
         self.start = short.get(END, 0)
         self.p, self.xw = params, (params["emb"] @ params["wx"] + params["b"]).astype(np.float32)
 
@@ -308,7 +326,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = cut(count_tokens(rows))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = float(n + v + 1)
-    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()]
+    head = frequent(counts)
     listed = head[: SHORT - 1]
     if all(w != END for w, _ in listed):
         listed = [*listed[: SHORT - 2], *[x for x in head if x[0] == END]]
@@ -326,9 +344,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 texts, docs, out = as_bytes(b.column(1)), [], {k: [] for k in ("n", "known", "base", "oov", "n_oov", "words", "counts")}
                 for text in texts:
                     ws = tokens(text)
-                    at = np.array([get(w, -1) for w in ws], np.int64)
+                    at = np.array([get(w, -1) for w in ws], np.int32)
                     known = at[at >= 0]
-                    ids = np.zeros(len(ws), np.int64)
+                    ids = np.zeros(len(ws), np.int16)
                     ids[at >= 0] = scorer.short[known]
                     docs.append(ids)
                     logs = scorer.logs[known]
