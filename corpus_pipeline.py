@@ -46,8 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and piece ids of each row, and whether they decode to its text."""
-    out = pieces.encode_documents(docs, keep_text=True)
-    return out.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    out = pieces.encode_documents(docs, with_text=False)
+    return out.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "lossless")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("mixing", mix_sources), ("sentencepiece", encode)]

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +37,11 @@ VARIANTS = 2
 SPACE = "▁"
 #: Units of more symbols go through the heap.
 WIDE = 24
-TABLE_BITS = 21
+TABLE_BITS = 18
 #: Units that are remembered; the older half goes when there are more.
-KEEP_UNITS = 400_000
+KEEP_UNITS = 240_000
+#: Bytes of text that are encoded together, one text at least.
+SLICE = 2_000_000
 
 
 class Model:
@@ -168,7 +171,7 @@ def segment_short(model: Model, rows: np.ndarray, keys: np.ndarray, rate: float)
     """The same agenda for many units at once, one row of symbols each: each round merges the best candidate of every unit."""
     n, width = rows.shape
     ids = rows.copy()
-    at = np.broadcast_to(np.arange(width), (n, width)).copy()  # the symbol at which each piece starts
+    at = np.broadcast_to(np.arange(width), (n, width)).copy()  # the symbol at which each piece lengths
     none = np.iinfo(np.int32).max
     cand = model.merge(ids[:, :-1], ids[:, 1:])
     rank = np.where(cand >= 0, model.rank[cand], none)
@@ -243,62 +246,71 @@ def units_of(text: bytes) -> list[bytes]:
 class Encoder:
     def __init__(self, model: Model, seed: int = 0, rate: float = DROPOUT):
         self.model, self.seed, self.rate = model, seed, rate
-        self.known: dict[tuple[int, bytes], bytes] = {}
-        self.older: dict[tuple[int, bytes], bytes] = {}
+        self.known: dict[int, dict[bytes, bytes]] = {}
+        self.older: dict[int, dict[bytes, bytes]] = {}
 
-    def matrix(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of many units, one row each, -1 behind them; their numbers; which units need symbols() instead."""
+    def matrix(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of many units, one row each, -1 behind them; which units need symbols() instead."""
         raw = np.frombuffer(b"".join(units), np.uint8)
         ends = np.cumsum([len(u) for u in units])
-        starts = np.add.reduceat((raw & 0xC0 != 0x80).astype(np.int64), np.concatenate([[0], ends[:-1]]))
+        lengths = np.add.reduceat((raw & 0xC0 != 0x80).astype(np.int64), np.concatenate([[0], ends[:-1]]))
         points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
         ids = self.model.single[np.minimum(points, 65535)]
         ids[points >= 65536] = -1
-        first = np.concatenate([[0], np.cumsum(starts)[:-1]])
-        other = (np.minimum.reduceat(ids, first) < 0) | (starts > WIDE)
-        width = int(starts[~other].max(initial=1))
-        row = np.repeat(np.arange(len(units)), starts)
-        col = np.arange(len(points)) - np.repeat(first, starts)
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        other = (np.minimum.reduceat(ids, first) < 0) | (lengths > WIDE)
+        width = int(lengths[~other].max(initial=1))
+        row = np.repeat(np.arange(len(units)), lengths)
+        col = np.arange(len(points)) - np.repeat(first, lengths)
         out = np.full((len(units), width), -1, np.int32)
         fits = ~other[row]
         out[row[fits], col[fits]] = ids[fits]
-        return out, starts, other
+        return out, other
 
-    def learn(self, wanted: list[tuple[int, bytes]]) -> None:
-        by_length = sorted(wanted, key=lambda k: len(k[1]))
+    def learn(self, variant: int, wanted: list[bytes]) -> None:
+        known = self.known.setdefault(variant, {})
+        by_length = sorted(wanted, key=len)
         for i in range(0, len(by_length), 8192):
             part = by_length[i : i + 8192]
-            ids, _, other = self.matrix([u for _, u in part])
-            keys = np.array([skip_key(self.seed, *k) for k in part], np.uint64)
+            ids, other = self.matrix(part)
+            keys = np.array([skip_key(self.seed, variant, u) for u in part], np.uint64)
             plain = np.nonzero(~other)[0]
             if len(plain):
                 for k, x in zip(plain.tolist(), segment_short(self.model, ids[plain], keys[plain], self.rate), strict=True):
-                    self.known[part[k]] = x
+                    known[part[k]] = x
             for k in np.nonzero(other)[0].tolist():
-                symbols, key = self.model.symbols(part[k][1]), int(keys[k])
+                symbols, key = self.model.symbols(part[k]), int(keys[k])
                 if len(symbols) > WIDE:
-                    self.known[part[k]] = np.array(segment_long(self.model, symbols, key, self.rate), np.int32).tobytes()
+                    known[part[k]] = np.array(segment_long(self.model, symbols, key, self.rate), np.int32).tobytes()
                 else:
-                    self.known[part[k]] = segment_short(self.model, np.array([symbols], np.int32), keys[k : k + 1], self.rate)[0]
+                    known[part[k]] = segment_short(self.model, np.array([symbols], np.int32), keys[k : k + 1], self.rate)[0]
+
+    def pieces_of(self, variant: int, units: dict[bytes, int]) -> list[bytes]:
+        """The pieces of each unit, learnt if they aren't known; the units not seen lately are forgotten."""
+        if len(self.known.get(variant, ())) > KEEP_UNITS // (2 * VARIANTS):
+            self.older[variant] = self.known.pop(variant)
+        known, older = self.known.setdefault(variant, {}), self.older.get(variant, {})
+        new = [u for u in units if u not in known]
+        known.update({u: x for u in new if (x := older.get(u)) is not None})
+        self.learn(variant, [u for u in new if u not in known])
+        return [known[u] for u in units]
 
     def encode(self, texts: list[bytes], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids of all texts in a row, offsets of the texts in them)."""
-        if len(self.known) > KEEP_UNITS // 2:
-            self.known, self.older = {}, self.known
-        seen: dict[tuple[int, bytes], int] = {}
-        use, counts = [], []
+        seen: dict[int, dict[bytes, int]] = {v: {} for v in sorted(set(variants))}
+        use: list[np.ndarray] = []
         for text, v in zip(texts, variants, strict=True):
-            own = [seen.setdefault((v, u), len(seen)) for u in units_of(text)]
-            use.append(np.array(own, np.int32))
-            counts.append(len(own))
-        new = [k for k in seen if k not in self.known]
-        self.known.update({k: x for k in new if (x := self.older.get(k)) is not None})
-        self.learn([k for k in new if k not in self.known])
-        pieces = [self.known[k] for k in seen]
+            own = seen[v]
+            use.append(np.array([own.setdefault(u, len(own)) for u in units_of(text)], np.int64))
+        pieces, base = [], {}
+        for v, own in seen.items():
+            base[v] = len(pieces)
+            pieces += self.pieces_of(v, own)
+        counts = [len(x) for x in use]
         size = np.array([len(x) // 4 for x in pieces], np.int64)
         flat = np.frombuffer(b"".join(pieces), np.int32)
         first = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-        u = np.concatenate(use) if use else np.zeros(0, np.int32)
+        u = np.concatenate([x + base[v] for x, v in zip(use, variants, strict=True)]) if use else np.zeros(0, np.int64)
         n = size[u]
         ends = np.cumsum(n)
         take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(first[u], n)
@@ -308,11 +320,24 @@ class Encoder:
 
 def decode(model: Model, ids) -> bytes:
     """The text of piece ids: their bytes without the space that was put in front."""
-    return b"".join([model.raw[i] for i in ids])[1:]
+    return b"".join(map(model.raw.__getitem__, ids))[1:]
 
 
-def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, seed: int = 0, rate: float = DROPOUT, keep_text: bool = False) -> DataFrame:
-    """doc_id, pieces (array of piece ids), decoded, the text that they decode to, and text if asked for, of each row."""
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most SLICE bytes of text (column 1), a longer text alone."""
+    sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+    first = size = 0
+    for i, n in enumerate(sizes):
+        if i > first and size + n > SLICE:
+            yield b.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    if first < len(sizes):
+        yield b.slice(first)
+
+
+def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, seed: int = 0, rate: float = DROPOUT, with_text: bool = True) -> DataFrame:
+    """doc_id, pieces (array of piece ids), lossless (they decode to the text) and, if asked for, decoded of each row."""
     spark = df.sparkSession
     model = spark.sparkContext.broadcast(Model(model_path).__dict__)  # a fixed vocabulary
 
@@ -321,17 +346,18 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         m.__dict__.update(model.value)
         encoder = Encoder(m, seed, rate)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for b in slices(whole):
                 texts = as_bytes(b.column(1))
                 variants = [xxhash.xxh64_intdigest(str(i), seed) % VARIANTS for i in b.column(0).to_pylist()]
                 ids, offsets = encoder.encode(texts, variants)
-                pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 decoded = [decode(m, ids[a:z].tolist()) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-                out = [b.column(0), pieces, pa.array(decoded, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*out, b.column(1)][: 3 + keep_text], names=["doc_id", "pieces", "decoded", "text"][: 3 + keep_text])
+                pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                out = {"doc_id": b.column(0), "pieces": pieces, "lossless": pa.array([x == y for x, y in zip(texts, decoded, strict=True)], pa.bool_())}
+                if with_text:
+                    out["decoded"] = pa.array(decoded, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, pieces array<int>, decoded string" + ", text string" * keep_text)
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, pieces array<int>, lossless boolean" + ", decoded string" * with_text)
 
 
 def digest(df: DataFrame) -> DataFrame:
