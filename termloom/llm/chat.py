@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.common import small_batches
+
 #: Strings that steer a chat model. Fixed values.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]")
 #: The first character of a control string inside a text; a backslash goes behind it.
@@ -136,7 +138,7 @@ def format_chats(df: DataFrame, render: Callable[[list[Turn]], str] = chatml, lo
         if done:
             yield pa.RecordBatch.from_pylist(done, shape)
 
-    rows = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    rows = small_batches(df).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, formatted string, turn_starts array<long>, turn_ends array<long>, loss array<struct<start: bigint, end: bigint>>, rewritten boolean")
 
 

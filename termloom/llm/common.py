@@ -9,11 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 #: The white space of every word rule here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to send Python at most BATCH_ROWS rows at once: texts are long, and each batch is held in the JVM and the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where the session names none (tests), one of our own."""
     sc = spark.sparkContext

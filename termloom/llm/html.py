@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.common import cut, small_batches
+
 MIN_PAGES, SHARE = 4, 0.2
 #: Template hashes that are sent out at once; more are joined by host.
 BROADCAST_HASHES = 400_000
@@ -227,9 +229,7 @@ def templates(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """page_id, url and text of each row."""
-    from termloom.llm.common import cut
-
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     found = cut(templates(df, url_col, html_col))
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     n = found.count()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import SPACE, as_bytes, cut
+from termloom.llm.common import SPACE, as_bytes, cut, small_batches
 
 MIN_CHARS = 10
 SHARD_KEYS = 200_000
@@ -166,7 +166,7 @@ def build_index(df: DataFrame, id_col: str, text_col: str, shard_keys: int) -> t
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df with its texts deduplicated, and line_dedup_lines and line_dedup_dropped, the numbers of lines before and dropped."""
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     index, shards, keys = build_index(df, id_col, text_col, shard_keys)
     names, schema = df.columns, df.schema
     i, t = names.index(id_col), names.index(text_col)

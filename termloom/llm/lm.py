@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import as_bytes, cut
+from termloom.llm.common import as_bytes, cut, small_batches
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # no word holds white space
@@ -259,13 +259,23 @@ def trained(rows: DataFrame, p: dict[str, np.ndarray], short: dict[bytes, int])
         sent = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
-            own, key, size = sent.value, 0, 0
+            own, key, size, held = sent.value, 0, 0, []
+
+            def learn() -> None:
+                nonlocal own
+                w = np.frombuffer(b"".join(held), np.int16).reshape(-1, WINDOW).astype(np.int64)
+                held.clear()
+                own = train(own, w, rate)
+
             for b in batches:
                 if b.num_rows:
                     key = b.column(1)[0].as_py()
-                    w = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int16).reshape(-1, WINDOW).astype(np.int64)
-                    own = train(own, w, rate)
-                    size += len(w)
+                    held += b.column(0).to_pylist()
+                    size += b.num_rows
+                    if len(held) >= 2 * WINDOWS_A_TASK:
+                        learn()
+            if held:
+                learn()
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array([key % shards], pa.int32()), pa.array([float(size)]), pa.array([pack(own)], pa.binary())], names=["shard", "weight", "params"])
 
@@ -321,7 +331,7 @@ class Scorer:
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = cut(count_tokens(rows))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -338,26 +348,38 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
         get = scorer.at.get
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 8000):
-                b = whole.slice(lo, 8000)
-                texts, docs, out = as_bytes(b.column(1)), [], {k: [] for k in ("n", "known", "base", "oov", "n_oov", "words", "counts")}
-                for text in texts:
-                    ws = tokens(text)
-                    at = np.array([get(w, -1) for w in ws], np.int32)
-                    known = at[at >= 0]
-                    ids = np.zeros(len(ws), np.int16)
-                    ids[at >= 0] = scorer.short[known]
-                    docs.append(ids)
-                    logs = scorer.logs[known]
-                    tail = Counter(ws[i] for i in np.nonzero(at < 0)[0])
-                    for k, x in zip(out, (len(ws), len(known), float(logs.sum()), float(logs[scorer.short[known] == 0].sum()), int((ids == 0).sum()), list(tail), list(tail.values())), strict=True):
-                        out[k].append(x)
-                gru = scorer.neural(docs) if docs else np.zeros(0)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held_out(x) for x in b.column(0).to_pylist()], pa.bool_()), pa.array(gru, pa.float64()), *(pa.array(x, t) for x, t in zip(out.values(), kinds, strict=True))], names=["doc_id", "held_out", "gru", *out])
-
-    scored = cut(rows.mapInArrow(run, "doc_id long, held_out boolean, gru double, n long, known long, base double, oov double, n_oov long, words array<binary>, counts array<long>").withColumn("rid", F.monotonically_increasing_id()))
+        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "oov": pa.float64(), "n_oov": pa.int64(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64())}
+        docs: list[np.ndarray] = []
+        done: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Score what has gathered: the more documents at once, the fewer steps."""
+            gru, at = scorer.neural(docs) if docs else np.zeros(0), 0
+            for x in done:
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(gru[at : at + x.num_rows])], names=[*kinds, "gru"])
+                at += x.num_rows
+            docs.clear()
+            done.clear()
+
+        for b in batches:
+            out = {k: [] for k in kinds}
+            for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                ws = tokens(text)
+                at = np.array([get(w, -1) for w in ws], np.int32)
+                known = at[at >= 0]
+                ids = np.zeros(len(ws), np.int16)
+                ids[at >= 0] = scorer.short[known]
+                docs.append(ids)
+                logs = scorer.logs[known]
+                tail = Counter(ws[i] for i in np.nonzero(at < 0)[0])
+                for k, x in zip(out, (doc, held_out(doc), len(ws), len(known), float(logs.sum()), float(logs[scorer.short[known] == 0].sum()), int((ids == 0).sum()), list(tail), list(tail.values())), strict=True):
+                    out[k].append(x)
+            done.append(pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for k, x in out.items()], names=list(kinds)))
+            if len(docs) >= 8000 or sum(map(len, docs)) >= 6_000_000:
+                yield from flush()
+        yield from flush()
+
+    scored = cut(rows.mapInArrow(run, "doc_id long, held_out boolean, n long, known long, base double, oov double, n_oov long, words array<binary>, counts array<long>, gru double").withColumn("rid", F.monotonically_increasing_id()))
     tail = scored.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
     found = tail.join(counts, "word", "left").select("rid", (F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(total))).alias("part"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"))
     sums = found.groupBy("rid").agg(F.sum("part").alias("part"), F.sum("known").alias("more"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import as_bytes
+from termloom.llm.common import as_bytes, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -338,7 +338,7 @@ def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, seed: int = 0, rate: float = DROPOUT, with_text: bool = True) -> DataFrame:
     """doc_id, pieces (array of piece ids), lossless (they decode to the text) and, if asked for, decoded of each row."""
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     model = spark.sparkContext.broadcast(Model(model_path).__dict__)  # a fixed vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

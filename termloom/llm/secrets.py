@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import as_texts
+from termloom.llm.common import as_texts, small_batches
 
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -111,7 +111,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t)] for t in as_texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, SPANS)], names=[id_col, "spans"])
 
-    source = df.select(F.col(id_col), F.col(text_col).cast("string"))
+    source = small_batches(df.select(F.col(id_col), F.col(text_col).cast("string")))
     return source.mapInArrow(scan, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
