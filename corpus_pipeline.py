@@ -28,17 +28,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash component; documents without words have nothing to compare and stay."""
-    found = simhash.near_duplicates(docs.where(~empty()))
-    # Ids that go, not those that stay: rows without an id, and empty ones, are never looked up.
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    """The document of smallest id of each SimHash component; rows without an id stay."""
+    # The ids that go, not those that stay: most documents are never looked up.
+    gone = cut(simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-def empty() -> F.Column:
-    return F.size(quality.words(F.col("text"))) == 0
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their temperature weights: every document once or more, smaller sources repeated up to the limit."""
     return mixing.mix(docs).select(*docs.columns)
