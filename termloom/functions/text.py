@@ -88,17 +88,17 @@ def keys_similar(a: Column, b: Column) -> Column:
     """
 
     def call(most: int, ending: int, first_only: bool) -> Column:
-        pairs = F.arrays_zip(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"))
+        pairs = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
 
         def alike(p: Column) -> Column:
-            x, y = p["0"], p["1"]
+            x, y = p["x"], p["y"]
             n = F.least(F.octet_length(x), F.octet_length(y)) - ending
             head = lambda w: F.substring(F.encode(w, "UTF-8"), F.lit(1), n)
             long_ = (F.octet_length(x) > 8) & (F.octet_length(y) > 8)
             return (x == y) | (long_ & (F.abs(F.octet_length(x) - F.octet_length(y)) < most) & (head(x) == head(y)))
 
-        differ = F.size(F.filter(pairs, lambda p: p["0"] != p["1"]))
-        rest = F.size(F.filter(F.slice(pairs, 2, 1000), lambda p: p["0"] != p["1"])) if first_only else F.lit(0)
+        differ = F.size(F.filter(pairs, lambda p: p["x"] != p["y"]))
+        rest = F.size(F.filter(F.slice(pairs, 2, 1000), lambda p: p["x"] != p["y"])) if first_only else F.lit(0)
         return F.forall(pairs, alike) & (differ <= most) & (rest == 0)
 
     same = F.size(F.split(a, " ")) == F.size(F.split(b, " "))
