@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from termloom.plans import q_phrases, q_relations, q_text, q_vectors  # noqa: F401
+from termloom.plans import q_models, q_phrases, q_relations, q_text, q_vectors  # noqa: F401
