@@ -156,7 +156,9 @@ def inliers(spark, d):
     return E.inliers(read(spark, d, "events"), "event_type", "value").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@register("SELECT lang, round(corr(length(text), quality), 6) AS chars, round(corr(len(string_split(text, ' ')), quality), 6) AS words FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+@register("SELECT lang, round(corr(length(text), quality), 6) AS chars, round(corr(len(string_split(text, ' ')), quality), 6) AS words FROM documents JOIN labels USING (doc_id) GROUP BY lang HAVING min(quality) < max(quality) AND min(text) < max(text)")
 def length_correlation(spark, d):
     j = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
-    return j.groupBy("lang").agg(F.round(F.corr(F.length("text"), "quality"), 6).alias("chars"), F.round(F.corr(F.size(F.split("text", " ")), "quality"), 6).alias("words"))
+    # A correlation needs both values to vary.
+    varied = j.groupBy("lang").agg(F.min("quality").alias("a"), F.max("quality").alias("b"), F.min("text").alias("c"), F.max("text").alias("d")).where("a < b and c < d").select("lang")
+    return j.join(varied, "lang", "left_semi").groupBy("lang").agg(F.round(F.corr(F.length("text"), "quality"), 6).alias("chars"), F.round(F.corr(F.size(F.split("text", " ")), "quality"), 6).alias("words"))

@@ -40,8 +40,8 @@ def write_occurrences(occ: DataFrame, path: str) -> None:
 def repaired_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of files that hold several JSON objects in a row."""
     whole = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
-    one = F.explode(F.split(F.regexp_replace("value", r"\}\s*\n\s*\{", "}\u0001{"), "\u0001"))
-    return whole.select(F.from_json(one, schema).alias("x")).where("x is not null").select("x.*")
+    one = whole.select(F.explode(F.split(F.regexp_replace("value", r"\}\s*\n\s*\{", "}\u0001{"), "\u0001")).alias("value"))
+    return one.select(F.from_json("value", schema).alias("x")).where("x is not null").select("x.*")
 
 
 def words(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ def test_articles(spark, tmp_path):
 
 def test_occurrences_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a b", "A b", "m", 1, 2, 3, 4, ["a", "b_c"])], "key string, text_form string, model string, doc_id long, sent_no long, start int, end int, lemmas array<string>")
-    files.write_occurrences(df, str(tmp_path / "o"))
+    files.write_occurrences(df.coalesce(1), str(tmp_path / "o"))
     for f in (tmp_path / "o").glob("part-*.json"):
         f.rename(tmp_path / "res1_text.json")
     assert files.occurrences(spark, str(tmp_path)).collect() == df.collect()
