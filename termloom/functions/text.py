@@ -103,3 +103,51 @@ def keys_similar(a: Column, b: Column) -> Column:
 
     same = F.size(F.split(a, " ")) == F.size(F.split(b, " "))
     return F.coalesce(same & (call(3, 2, False) | call(2, 4, True)), F.lit(False))
+
+
+def before_mark(text: Column) -> Column:
+    """No white space before the final mark."""
+    return F.regexp_replace(text, r"\s+([.,;:!?])$", "$1")
+
+
+def starts_latin(text: Column) -> Column:
+    """The first word starts with a Latin letter."""
+    return F.trim(text).rlike(r"^[A-Za-z]")
+
+
+def without_containing(items: Column, parts: list[str]) -> Column:
+    """The items of an array that hold none of the parts."""
+    return F.filter(items, lambda x: ~F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(x, p)))
+
+
+def word_context(entry: Column) -> Column:
+    """`word (context, more)` as word and the context's first part, null without one."""
+    inside = F.regexp_extract(entry, r"^\s*[^(]*\(([^,)]*)", 1)
+    return F.struct(F.trim(F.regexp_extract(entry, r"^([^(]*)", 1)).alias("word"), F.when(inside != "", F.trim(inside)).alias("context"))
+
+
+def wiki_examples(text: Column) -> Column:
+    """The examples of a wiki page's `{{пример|...}}` templates: first field, markup and stress marks taken out."""
+    found = F.regexp_extract_all(text, F.lit(r"\{\{(?:пример|example)\|([^|}]*)"), F.lit(1))
+    plain = F.transform(found, lambda x: F.trim(F.translate(F.regexp_replace(F.regexp_replace(x, r"&[a-z]+;", " "), "́", ""), "{}[]'", "")))
+    return F.filter(plain, lambda x: x != "")
+
+
+def between_bars(line: Column) -> Column:
+    """What stands behind the first || up to the next."""
+    p = F.split(line, r"\|\|", -1)
+    return F.trim(F.coalesce(F.get(p, F.lit(1)), F.get(p, F.lit(0))))
+
+
+def preposition(line: Column, words: list[str]) -> Column:
+    """The first word of the list that stands between spaces in the line, else `others`."""
+    return F.coalesce(*(F.when(F.contains(line, F.lit(f" {w} ")), F.lit(w)) for w in words), F.lit("others"))
+
+
+def common_words(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(F.split(a, " "), F.split(b, " ")))
+
+
+def hypotheses(hyper: Column, hypo: Column, templates: list[str]) -> Column:
+    """Each template filled in; %1$s is the hyponym, %2$s the hypernym."""
+    return F.array(*(F.format_string(t, hypo, hyper) for t in templates))

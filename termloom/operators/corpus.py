@@ -51,3 +51,20 @@ def filter_stats(stats: DataFrame) -> DataFrame:
 
 def without_stop_words(tokens: DataFrame, stop: DataFrame) -> DataFrame:
     return tokens.join(stop, "w", "left_anti")
+
+
+def joined_texts(parts: DataFrame, by: str, order: str) -> DataFrame:
+    """by and text: the lower-cased parts in order, joined by spaces."""
+    one = F.array_sort(F.collect_list(F.struct(order, F.coalesce("text", F.lit("")).alias("text"))))
+    return parts.groupBy(by).agg(F.lower(F.array_join(F.transform(one, lambda x: x["text"]), " ")).alias("text"))
+
+
+def substring_idf(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """w and ln(documents / (1 + documents that hold w anywhere, inside words too)).
+
+    A text is scanned for each word of the list, which is meant to be short; the words
+    found are counted before the shuffle.
+    """
+    n = docs.agg(F.count("*").alias("n"))
+    hits = docs.join(F.broadcast(words), F.contains(F.col("text"), F.col("w"))).groupBy("w").agg(F.count("*").alias("df"))
+    return words.join(hits, "w", "left").crossJoin(F.broadcast(n)).select("w", F.round(F.log(F.col("n") / (1 + F.coalesce("df", F.lit(0)))), 8).alias("idf"))

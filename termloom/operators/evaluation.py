@@ -44,3 +44,44 @@ def inliers(df: DataFrame, by: str, x: str) -> DataFrame:
 def folds(df: DataFrame, label: str, key: str, n: int = 10) -> DataFrame:
     """A stratified fold for each row, by hash: shares of a label differ by chance alone and no label meets in one task."""
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(label), F.col(key)), F.lit(n)).cast("int"))
+
+
+def average_precision(scored: DataFrame) -> DataFrame:
+    """Sum over distinct scores, falling, of precision times the gain in recall, of (y, score)."""
+    g = scored.groupBy("score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    r = g.select("pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
+    return r.agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos"), 8).alias("average_precision"))
+
+
+def best_threshold(scored: DataFrame, steps: int = 100) -> DataFrame:
+    """The step of the sweep with the highest F1, the first of equal ones, and the accuracy there."""
+    top = sweep(scored, steps).orderBy(F.desc("f1"), "step").limit(1)
+    hit = (F.floor(F.col("score") * steps) >= F.col("step")).cast("int") == F.col("y")
+    return scored.crossJoin(F.broadcast(top)).groupBy("step", "f1").agg(F.round(F.avg(hit.cast("int")), 8).alias("accuracy"))
+
+
+def pair_prf(gold: DataFrame, pred: DataFrame, on: tuple[str, str] = ("key", "phrase")) -> DataFrame:
+    """Precision, recall and F1 of sets of pairs, and how many wrong predictions are gold pairs turned round."""
+    a, b = on
+    g, p = (x.select(*on).distinct().withColumn(n, F.lit(1)) for x, n in ((gold, "gold"), (pred, "pred")))
+    turned = g.select(F.col(b).alias(a), F.col(a).alias(b), F.lit(1).alias("turned"))
+    j = g.join(p, [*on], "full_outer").join(turned, [*on], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return j.agg(*prf(zero("gold"), zero("pred")), F.count_if((zero("pred") == 1) & (zero("gold") == 0) & (zero("turned") == 1)).alias("reversed"))
+
+
+def misclassified(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    return scored.where((F.col("score") >= threshold).cast("int") != F.col("y"))
+
+
+def small_classes(df: DataFrame, by: str, least: int) -> DataFrame:
+    return df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") < least)
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, r: Pearson's r of each pair of columns, in one aggregation."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{i}"), 6).alias("r")) for i, (a, b) in enumerate(pairs)))
+    return one.select(F.explode(rows).alias("x")).select("x.*")

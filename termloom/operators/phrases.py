@@ -1,6 +1,6 @@
 """Phrase tables: rarity, grouping, similar keys, prefixes, containment, votes."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
@@ -90,3 +90,60 @@ def votes(neighbours: DataFrame, taxonomy: DataFrame, first: float = 1.0, second
     summed = one.unionAll(two).where("hypernym <> query").groupBy("query", "hypernym").agg(F.round(F.sum("vote"), 6).alias("vote"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("vote"), "hypernym"))
     return summed.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def by_stripped_noun(words: DataFrame) -> DataFrame:
+    """Single words (noun, n, tf_idf, mean, high, low, is_term) grouped without their plural ending."""
+    avg = lambda c: F.round(F.avg(c), 6).alias(c)
+    return words.groupBy(T.suffix_strip(F.col("noun")).alias("noun")).agg(F.sum("n").alias("n"), *map(avg, ("tf_idf", "mean", "high", "low")), F.max("is_term").alias("is_term"))
+
+
+#: Endings that stand for each other, and the one that is kept. Fixed values.
+ENDINGS = (("ой", "ый", "ый"), ("а", "", ""), ("и", "", ""), ("ов", "", ""))
+
+
+def merge_endings(phrases: DataFrame, endings: tuple = ENDINGS, rounds: int = 3) -> DataFrame:
+    """phrase, canonical: phrases that differ in the ending of one word alone take one form.
+
+    Each phrase gives a key for every word and ending: the word's place, its root and the
+    rest; phrases of different endings under one key are the same.  A round is one
+    aggregation; a form that changes can meet others in the next round.
+    """
+    def cases(end: str, rule: str, keep: str) -> Column:
+        """Each word that ends so, by its place."""
+        root = lambda x: F.when(F.endswith(x, F.lit(end)), F.left(x, F.length(x) - len(end)))
+        return F.transform(F.split("canonical", " "), lambda x, i: F.struct(i.alias("at"), root(x).alias("root"), F.lit(rule).alias("rule"), F.lit(end).alias("end"), F.lit(keep).alias("keep")))
+
+    every = F.concat(*(cases(e, f"{a}/{b}", keep) for a, b, keep in endings for e in (a, b)))
+    out = phrases.select("phrase", F.col("phrase").alias("canonical")).distinct()
+    for _ in range(rounds):
+        keyed = out.select("canonical").distinct().withColumn("k", F.explode(F.filter(every, lambda s: s["root"].isNotNull()))).select("canonical", "k.*")
+        rest = F.transform(F.split("canonical", " "), lambda x, i: F.when(i == F.col("at"), F.concat("root", F.lit("\x01"))).otherwise(x))
+        form = F.transform(F.split("canonical", " "), lambda x, i: F.when(i == F.col("at"), F.concat("root", "keep")).otherwise(x))
+        keyed = keyed.select("canonical", "rule", "at", "end", F.array_join(rest, " ").alias("key"), F.array_join(form, " ").alias("form"))
+        met = keyed.groupBy("rule", "at", "key").agg(F.min("end").alias("e1"), F.max("end").alias("e2")).where("e1 <> e2").select("rule", "at", "key")
+        new = keyed.join(met, ["rule", "at", "key"]).groupBy("canonical").agg(F.min("form").alias("form"))
+        out = out.join(new, "canonical", "left").select("phrase", F.coalesce("form", "canonical").alias("canonical"))
+    return out
+
+
+def prefix_exclusion(clusters: DataFrame, first: tuple, second: tuple, third: str, low_centrality: float = 0.15, low_tfidf: float = 8.8e-6) -> DataFrame:
+    """Clusters (key, model, centrality, tfidf, frequency) without weak pairs of a phrase and its extension.
+
+    A key of a model in `first` goes, with its right neighbour in sorted order, if that
+    one starts with it, is of the paired model, has a rest (without its first word) of
+    model `third` among the keys, the key is off-centre, and one of the three is rare by
+    tf-idf.  A key and its extension share their first word, so neighbours are looked for
+    among the keys of one first word.
+    """
+    w = Window.partitionBy(F.substring_index("key", " ", 1)).orderBy("key")
+    nxt = clusters.withColumn("n", F.lead(F.struct("key", "model", "tfidf")).over(w))
+    paired = F.lit(False)
+    for a, b in zip(first, second, strict=True):
+        paired = paired | ((F.col("model") == a) & (F.col("n.model") == b))
+    cand = nxt.where(paired & F.startswith(F.col("n.key"), F.col("key")) & (F.col("centrality") < low_centrality))
+    rest = F.substr(F.col("n.key"), F.position(F.lit(" "), F.col("n.key")) + 1)
+    t = clusters.where(F.col("model") == third).select(F.col("key").alias("rest"), F.col("tfidf").alias("tfidf3"))
+    weak = cand.withColumn("rest", rest).join(t, "rest").where(F.least("tfidf", "n.tfidf", "tfidf3") < low_tfidf)
+    gone = weak.select(F.explode(F.array("key", "n.key")).alias("key")).distinct()
+    return clusters.join(gone, "key", "left_anti")

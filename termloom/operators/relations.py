@@ -119,3 +119,61 @@ def rule_relations(pairs: DataFrame, markers: list[str], adjectives: list[str])
 def previous(turns: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """The row before within by."""
     return turns.withColumn("previous", F.lag(text).over(Window.partitionBy(by).orderBy(order)))
+
+
+def complete_mutual(edges: DataFrame) -> DataFrame:
+    """Edges, and the turned ones whose key is a key that lacks them; other columns are carried over."""
+    rest = [c for c in edges.columns if c not in ("key", "phrase")]
+    back = edges.select(F.col("phrase").alias("key"), F.col("key").alias("phrase"), *rest)
+    missing = back.join(edges.select("key").distinct(), "key", "left_semi").join(edges.select("key", "phrase"), ["key", "phrase"], "left_anti")
+    return edges.unionByName(missing)
+
+
+def lookup_either_way(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """relation of each pair, from the pair or else from the turned one (then marked)."""
+    back = known.select(F.col("phrase").alias("key"), F.col("key").alias("phrase"), F.concat("relation", F.lit(" (reversed)")).alias("back"))
+    return pairs.join(known.select("key", "phrase", "relation"), ["key", "phrase"], "left").join(back, ["key", "phrase"], "left").select("key", "phrase", F.coalesce("relation", "back").alias("relation"))
+
+
+def override(base: DataFrame, new: DataFrame, on: str, column: str) -> DataFrame:
+    """base with the column's values of new where it has any."""
+    n = new.select(on, F.col(column).alias("_new"))
+    return base.join(n, on, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
+    """key, the number of phrases that each of two models gives for it, and of those that both give."""
+    x = a.select("key", "phrase").distinct().withColumn("in_a", F.lit(1))
+    y = b.select("key", "phrase").distinct().withColumn("in_b", F.lit(1))
+    j = x.join(y, ["key", "phrase"], "full_outer")
+    return j.groupBy("key").agg(F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"), F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("common"))
+
+
+def best_by_phrase(candidates: DataFrame) -> DataFrame:
+    """The record of highest similarity for each (key, phrase), the first source of equal ones."""
+    best = F.max_by(F.struct("sim", "source"), F.struct("sim", F.translate("source", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")))
+    return candidates.groupBy("key", "phrase").agg(best.alias("x")).select("key", "phrase", F.round("x.sim", 5).alias("sim"), "x.source")
+
+
+def nli_decisions(scores: DataFrame, entailed: float = 0.8, margin: float = 0.01) -> DataFrame:
+    """hyper, hypo, mean scores over the templates and the verdict: entailed, by a margin over contradiction, and not less than neutral."""
+    m = scores.groupBy("hyper", "hypo").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("ent", "contr", "neutral")))
+    return m.withColumn("is_hyper", (F.col("ent") >= entailed) & (F.round(F.col("ent") - F.col("contr"), 6) >= margin) & (F.col("neutral") <= F.col("ent")))
+
+
+def strong_entries(edges: DataFrame, least: float = 0.4) -> DataFrame:
+    """Edges of keys that are, or have a candidate that is, marked by hand or probable enough."""
+    good = (F.col("manual") != 0) | (F.col("prob") >= least)
+    return edges.join(edges.where(good).select("key").distinct(), "key", "left_semi")
+
+
+def head_nouns(found: DataFrame) -> DataFrame:
+    """head, relation, word with the mean similarity, contexts and terms of what was found (head, relation, word, sim, context, term)."""
+    joined = lambda c, by: F.array_join(F.array_sort(F.collect_set(c)), by)
+    return found.groupBy("head", "relation", "word").agg(F.round(F.avg("sim"), 6).alias("sim"), joined("context", "; ").alias("contexts"), joined("term", ",").alias("terms"))
+
+
+def paraphrases(candidates: DataFrame) -> DataFrame:
+    """Without pairs of two nouns and of adjective and noun where the adjective starts like the first noun (key, phrase, key_tags, phrase_tags)."""
+    same = F.startswith(F.col("phrase"), F.left(F.element_at(F.split("key", " "), 1), F.lit(5)))
+    return candidates.where(~((F.col("key_tags") == "NOUN NOUN") & (F.col("phrase_tags") == "ADJ NOUN") & same))

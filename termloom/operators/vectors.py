@@ -71,3 +71,49 @@ def topic_relevance(vectors: DataFrame, by: str, sigma: list[float] | None = Non
     sq = F.transform(v, lambda x: x * x)
     rel = F.when(V.total(sq) >= 1e-15, F.array_max(sq) / V.total(sq))
     return vectors.groupBy(by).agg(F.round(F.coalesce(F.avg(rel), F.lit(0.0)), 6).alias("relevance"))
+
+
+def mean_vectors(items: DataFrame, words: DataFrame, by: str) -> DataFrame:
+    """by and v, the weighted mean of the known words' vectors (items: by, w, weight; words: w, v); items without any are left out."""
+    x = items.join(words, "w").select(by, "weight", F.posexplode("v").alias("dim", "x")).groupBy(by, "dim").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m"))
+    return x.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("v"))
+
+
+def phrase_vectors(phrases: DataFrame, words: DataFrame, idf: DataFrame | None = None) -> DataFrame:
+    """phrase and the mean of its words' vectors, weighted by idf (w, idf) if given."""
+    items = phrases.select("phrase", F.explode(F.split("phrase", " ")).alias("w"))
+    if idf is None:
+        return mean_vectors(items.withColumn("weight", F.lit(1.0)), words, "phrase")
+    return mean_vectors(items.join(idf, "w").withColumnRenamed("idf", "weight"), words, "phrase")
+
+
+def context_vectors(contexts: DataFrame, words: DataFrame) -> DataFrame:
+    """phrase and the mean of its context's parts (cut at |) weighted by their words; parts without a known word don't count."""
+    parts = contexts.select("phrase", F.posexplode(F.split("context", r"\|")).alias("no", "part")).select("phrase", "no", F.split(F.trim("part"), r"\s+").alias("ws")).withColumn("id", F.struct("phrase", "no"))
+    v = mean_vectors(parts.select("id", F.explode("ws").alias("w"), F.lit(1.0).alias("weight")), words, "id")
+    weighted = parts.select("id", F.size("ws").cast("double").alias("weight")).join(v, "id").select(F.col("id.phrase").alias("phrase"), "weight", F.posexplode("v").alias("dim", "x"))
+    m = weighted.groupBy("phrase", "dim").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m"))
+    return m.groupBy("phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("v"))
+
+
+def alignment(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """a, b, score: mean over a's known words of the best cosine with a word of b."""
+    x = pairs.select("a", "b", F.explode(F.array_distinct(F.split("a", " "))).alias("w")).join(words.select("w", F.col("v").alias("va")), "w").withColumnRenamed("w", "wa")
+    y = pairs.select("a", "b", F.explode(F.array_distinct(F.split("b", " "))).alias("w")).join(words.select("w", F.col("v").alias("vb")), "w")
+    best = x.join(y, ["a", "b"]).groupBy("a", "b", "wa").agg(F.max(V.cosine(F.col("va"), F.col("vb"))).alias("best"))
+    return best.groupBy("a", "b").agg(F.round(F.avg("best"), 6).alias("score"))
+
+
+def mean_pair_cosine(vectors: DataFrame, by: str) -> DataFrame:
+    """Mean cosine of all pairs of a group, from the sum of its unit vectors: (|sum|^2 - n) / (n (n - 1))."""
+    unit = vectors.withColumn("n", V.norm(F.col("v"))).where("n > 0").select(by, F.posexplode(F.transform("v", lambda x: x / F.col("n"))).alias("dim", "x"))
+    dims = unit.groupBy(by, "dim").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    return dims.groupBy(by).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.max("n").alias("n")).where("n > 1").select(by, F.round((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("cos"))
+
+
+def topic_share(phrases: DataFrame, topic_words: DataFrame, n_topics: int) -> DataFrame:
+    """phrase, share of its words that are a top word of any topic, hits (topic, word) over the topics."""
+    w = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("at", "w"))
+    n = topic_words.select("topic", "w").distinct().groupBy("w").agg(F.count("*").alias("topics"))
+    j = w.join(n, "w", "left")
+    return j.groupBy("phrase").agg(F.round(F.avg(F.col("topics").isNotNull().cast("int")), 6).alias("share"), F.round(F.sum(F.coalesce("topics", F.lit(0))) / n_topics, 6).alias("relevance"))

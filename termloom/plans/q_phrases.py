@@ -99,11 +99,10 @@ def clusters(spark, d):
     return C.clusters(occurrences(spark, d), read(spark, d, "documents"))
 
 
-@register(f"{CLUSTERS} SELECT q.key, md5(string_agg(DISTINCT sentence, ' | ' ORDER BY sentence)) AS context, count(DISTINCT sentence) AS n FROM q JOIN ({SENTENCES}) u ON q.doc_id = u.doc_id AND q.sent_no = u.sent_no WHERE q.key IN (SELECT key FROM c WHERE cnt BETWEEN 2 AND 50) GROUP BY q.key")
+@register(f"{CLUSTERS} SELECT q.key, md5(string_agg(DISTINCT sentence, ' | ' ORDER BY sentence)) AS context, count(DISTINCT sentence) AS n FROM q JOIN ({SENTENCES}) u ON q.doc_id = u.doc_id AND q.sent_no = u.sent_no GROUP BY q.key")
 def cluster_contexts(spark, d):
     occ = occurrences(spark, d)
-    some = C.clusters(occ, read(spark, d, "documents")).where("cnt between 2 and 50").select("key")
-    return C.contexts(occ.join(some, "key", "left_semi"), corpus.sentences(read(spark, d, "documents")))
+    return C.contexts(occ, corpus.sentences(read(spark, d, "documents")))
 
 
 LEMMAS = "WITH d AS (SELECT count(DISTINCT doc_id) AS n FROM documents)"

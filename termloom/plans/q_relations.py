@@ -8,13 +8,13 @@ from termloom.plans.q_text import read
 from termloom.plans.registry import register
 
 RELATIONS = ("synonym", "hypernym", "hyponym", "related", "antonym")
-EDGES = "SELECT 'p' || o_custkey % 97 AS key, 'p' || o_orderkey % 89 AS phrase, ['synonym', 'hypernym', 'hyponym', 'related', 'antonym'][min(o_orderkey + o_custkey) % 5 + 1] AS relation FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2"
+EDGES = "SELECT 'p' || o_custkey % 97 AS key, 'p' || o_orderkey % 89 AS phrase, ['synonym', 'hypernym', 'hyponym', 'related', 'antonym'][min(o_orderkey + o_custkey) % 5 + 1] AS relation FROM orders GROUP BY 1, 2"
 INV = "CASE relation WHEN 'hypernym' THEN 'hyponym' WHEN 'hyponym' THEN 'hypernym' ELSE relation END"
 BACK = f"SELECT phrase AS key, key AS phrase, {INV} AS relation FROM e"
 
 
 def edges(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = read(spark, d, "orders")
     pick = F.get(F.array(*map(F.lit, RELATIONS)), (F.min(F.col("o_orderkey") + F.col("o_custkey")) % 5).cast("int"))
     return o.groupBy(F.concat(F.lit("p"), F.col("o_custkey") % 97).alias("key"), F.concat(F.lit("p"), F.col("o_orderkey") % 89).alias("phrase")).agg(pick.alias("relation"))
 
@@ -44,9 +44,9 @@ def without_self(spark, d):
     return R.without_self(edges(spark, d))
 
 
-@register(f"WITH e AS ({EDGES}), p AS (SELECT DISTINCT 'p' || c_custkey AS p FROM customer WHERE c_custkey < 60) SELECT * FROM e WHERE key IN (SELECT p FROM p) AND phrase IN (SELECT p FROM p)")
+@register(f"WITH e AS ({EDGES}), p AS (SELECT DISTINCT 'p' || c_custkey AS p FROM customer WHERE c_mktsegment = 'FURNITURE') SELECT * FROM e WHERE key IN (SELECT p FROM p) AND phrase IN (SELECT p FROM p)")
 def within_phrases(spark, d):
-    return R.within(edges(spark, d), read(spark, d, "customer").where("c_custkey < 60").select(F.concat(F.lit(" P"), "c_custkey").alias("phrase")))
+    return R.within(edges(spark, d), read(spark, d, "customer").where("c_mktsegment = 'FURNITURE'").select(F.concat(F.lit(" P"), "c_custkey").alias("phrase")))
 
 
 @register(f"WITH e AS ({EDGES}), m AS (SELECT 'p' || (c_custkey % 50) AS key, 'p' || (c_custkey % 50 + 1) AS phrase, 'hypernym' AS relation FROM customer), b AS (SELECT * FROM m UNION SELECT phrase, key, 'hyponym' FROM m) SELECT e.* FROM e LEFT JOIN b USING (key, phrase) WHERE b.key IS NULL UNION ALL SELECT * FROM b")
