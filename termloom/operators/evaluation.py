@@ -23,11 +23,25 @@ def sweep(scored: DataFrame, steps: int = 100) -> DataFrame:
     return j.select("step", part(F.col("tp"), F.col("pred")).alias("precision"), part(F.col("tp"), F.col("gold")).alias("recall"), part(2 * F.col("tp"), F.col("pred") + F.col("gold")).alias("f1"))
 
 
+#: Score ranges that running sums are taken over first; only their sums meet in one task.
+RANGES = 4096
+
+
+def running(scored: DataFrame) -> DataFrame:
+    """score, pos, neg and above_pos, above_neg, the sums over higher scores, one row for each distinct score of (y, score in [0, 1])."""
+    g = scored.groupBy("score").agg(F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg")).withColumn("range", F.floor(F.col("score") * RANGES))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    ranges = g.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select("range", total("p", above).alias("p"), total("n", above).alias("n"))
+    j = g.join(F.broadcast(ranges), "range")
+    return j.select("score", "pos", "neg", (F.col("p") + total("pos", inside)).alias("above_pos"), (F.col("n") + total("neg", inside)).alias("above_neg"))
+
+
 def auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve of (y, score): scores are grouped first, so the window runs over distinct scores."""
-    g = scored.groupBy("score").agg(F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("below", below).agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg")), 8).alias("auc"))
+    """Area under the ROC curve of (y, score in [0, 1]): for each negative the positives above it, and half of those beside it."""
+    won = F.sum(F.col("neg") * (F.col("above_pos") + F.col("pos") / 2))
+    return running(scored).agg(F.round(won / (F.sum("pos") * F.sum("neg")), 8).alias("auc"))
 
 
 def describe(df: DataFrame, by: str, x: str) -> DataFrame:
@@ -47,11 +61,9 @@ def folds(df: DataFrame, label: str, key: str, n: int = 10) -> DataFrame:
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
-    """Sum over distinct scores, falling, of precision times the gain in recall, of (y, score)."""
-    g = scored.groupBy("score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    r = g.select("pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
-    return r.agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos"), 8).alias("average_precision"))
+    """Sum over distinct scores, falling, of precision times the gain in recall, of (y, score in [0, 1])."""
+    tp = F.col("above_pos") + F.col("pos")
+    return running(scored).agg(F.round(F.sum(F.col("pos") * tp / (tp + F.col("above_neg") + F.col("neg"))) / F.sum("pos"), 8).alias("average_precision"))
 
 
 def best_threshold(scored: DataFrame, steps: int = 100) -> DataFrame:

@@ -1,7 +1,7 @@
 """Term classification: features, balancing, stacked models, out-of-fold probabilities."""
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,17 +42,19 @@ def smote(minority: DataFrame, seed: int = 1) -> DataFrame:
     return minority.withColumn("near", near).where("near is not null").select("key", F.zip_with("v", "near", lambda a, b: a + t * (b - a)).alias("v"))
 
 
-def stacked_oof(df: DataFrame, label: str, key: str, columns: list[str], k: int = 3, seed: int = 1) -> DataFrame:
-    """key, label, prob: forest and boosted trees fitted outside each fold, joined by a logistic regression fitted outside it too."""
+def stacked_oof(df: DataFrame, label: str, key: str, columns: list[str], k: int = 3, seed: int = 1, hidden: tuple[int, ...] = (256, 128, 64)) -> DataFrame:
+    """key, label, prob: forest, boosted trees and a perceptron fitted outside each fold, joined by a logistic regression fitted outside it too."""
     data = folds(assemble(df, columns), label, key, k).select(key, F.col(label).cast("double").alias("y"), "features", "fold").persist()
     base = None
     for f in range(k):
         fit, out = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
         rf = RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=5, seed=seed).fit(fit).transform(out).select(key, prob().alias("p1"))
         gb = GBTClassifier(labelCol="y", maxIter=10, maxDepth=3, seed=seed).fit(fit).transform(out).select(key, prob().alias("p2"))
-        part = out.select(key, "y", "fold").join(rf, key).join(gb, key)
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(fit)
+        mlp = MultilayerPerceptronClassifier(labelCol="y", featuresCol="scaled", layers=[len(columns), *hidden, 2], maxIter=50, seed=seed).fit(scaler.transform(fit)).transform(scaler.transform(out)).select(key, prob().alias("p3"))
+        part = out.select(key, "y", "fold").join(rf, key).join(gb, key).join(mlp, key)
         base = part if base is None else base.unionAll(part)
-    meta = VectorAssembler(inputCols=["p1", "p2"], outputCol="features").transform(base).persist()
+    meta = VectorAssembler(inputCols=["p1", "p2", "p3"], outputCol="features").transform(base).persist()
     out = None
     for f in range(k):
         part = LogisticRegression(labelCol="y").fit(meta.where(F.col("fold") != f)).transform(meta.where(F.col("fold") == f)).select(key, F.col("y").cast("int").alias(label), prob().alias("prob"))

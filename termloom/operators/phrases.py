@@ -22,13 +22,14 @@ def grouped(phrases: DataFrame) -> DataFrame:
 def merge_similar(clusters: DataFrame) -> DataFrame:
     """Islands of neighbouring similar keys, named by their first: head, n keys, summed count.
 
-    Similar keys share their first letter, so the keys are dealt by it.
+    Similar keys share their first five bytes (a shorter first word is equal, and a longer
+    one's stem has five at least), so the keys are dealt by those.
     """
-    w = Window.partitionBy(F.left("key", F.lit(1))).orderBy("key")
-    new = ~T.keys_similar(F.lag("key").over(w), F.col("key"))
-    marked = clusters.withColumn("new", new.cast("int"))
-    island = marked.withColumn("island", F.sum("new").over(w)).withColumn("letter", F.left("key", F.lit(1)))
-    return island.groupBy("letter", "island").agg(F.min("key").alias("head"), F.count("*").alias("n"), F.sum("cnt").alias("cnt")).select("head", "n", "cnt")
+    stem = F.substring(F.encode("key", "UTF-8"), 1, 5)
+    w = Window.partitionBy("stem").orderBy("key")
+    marked = clusters.withColumn("stem", stem).withColumn("new", (~T.keys_similar(F.lag("key").over(w), F.col("key"))).cast("int"))
+    island = marked.withColumn("island", F.sum("new").over(w))
+    return island.groupBy("stem", "island").agg(F.min("key").alias("head"), F.count("*").alias("n"), F.sum("cnt").alias("cnt")).select("head", "n", "cnt")
 
 
 def prefix_roots(keys: DataFrame) -> DataFrame:

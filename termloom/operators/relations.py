@@ -177,3 +177,21 @@ def paraphrases(candidates: DataFrame) -> DataFrame:
     """Without pairs of two nouns and of adjective and noun where the adjective starts like the first noun (key, phrase, key_tags, phrase_tags)."""
     same = F.startswith(F.col("phrase"), F.left(F.element_at(F.split("key", " "), 1), F.lit(5)))
     return candidates.where(~((F.col("key_tags") == "NOUN NOUN") & (F.col("phrase_tags") == "ADJ NOUN") & same))
+
+
+def consistent_predictions(scores: DataFrame, cut: float = 0.5) -> DataFrame:
+    """key, phrase, relation, confidence from a probability a flag, one row for each ordered pair.
+
+    Synonyms are neither hypernym nor hyponym, and a pair is a hyponym (hypernym) if the
+    turned pair is a hypernym (hyponym) and it is no hypernym (hyponym) itself; the first
+    flag in resolve_flags()'s order then names the pair. Confidence is the mean distance
+    of the probabilities from one half.
+    """
+    yes = scores.select("key", "phrase", *((F.col(f) > cut).alias(f) for f in FLAGS), F.round(sum(F.abs(F.col(f) - 0.5) for f in FLAGS) / len(FLAGS), 6).alias("confidence"))
+    back = yes.select(F.col("phrase").alias("key"), F.col("key").alias("phrase"), F.col("is_hypernym").alias("b_hyper"), F.col("is_hyponym").alias("b_hypo"))
+    j = yes.join(back, ["key", "phrase"], "left")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    hyper = F.col("is_hypernym") | (no("b_hypo") & ~F.col("is_hyponym"))
+    hypo = F.col("is_hyponym") | (no("b_hyper") & ~F.col("is_hypernym"))
+    j = j.select("key", "phrase", "is_synonym", "is_usage_variant", "is_related", (hyper & ~F.col("is_synonym")).alias("is_hypernym"), (hypo & ~F.col("is_synonym")).alias("is_hyponym"), "confidence")
+    return resolve_flags(j).join(j.select("key", "phrase", "confidence"), ["key", "phrase"])

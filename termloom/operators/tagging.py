@@ -23,3 +23,14 @@ def tag(tokens: DataFrame) -> DataFrame:
     w = F.col("w")
     reading = F.struct(pos_of(w).alias("pos"), F.create_map(F.lit("Case"), case_of(w)).alias("feats"))
     return tokens.select("doc_id", "sent_no", "pos", w.alias("form"), w.alias("lemma"), F.array(reading).alias("readings"))
+
+
+def tag_by_lexicon(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """tag() with readings from a lexicon (form, lemma, pos, feats, prob); words that it lacks are tagged by suffix.
+
+    The lemma is that of the most probable reading, the first by name of equal ones.
+    """
+    reading = F.struct("pos", "feats")
+    known = lexicon.groupBy(F.lower("form").alias("w")).agg(F.collect_list(reading).alias("lex_readings"), F.min_by("lemma", F.struct(-F.col("prob"), "lemma")).alias("lex_lemma"))
+    t = tag(tokens).withColumn("w", F.lower("form")).join(known, "w", "left")
+    return t.select("doc_id", "sent_no", "pos", "form", F.lower(F.coalesce("lex_lemma", "lemma")).alias("lemma"), F.coalesce("lex_readings", "readings").alias("readings"))

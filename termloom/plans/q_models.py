@@ -29,7 +29,7 @@ def features(spark, d):
 
 @register(None)
 def stacked_oof(spark, d):
-    return learning.stacked_oof(features(spark, d), "quality", "doc_id", ["chars", "words", "lines", "symbols"])
+    return learning.stacked_oof(features(spark, d), "quality", "doc_id", ["chars", "words", "lines", "symbols"], hidden=(16, 8))
 
 
 @register(None)

@@ -117,7 +117,19 @@ def term_select(spark, d):
     return C.select_terms(C.clusters(occurrences(spark, d), docs), corpus.tfidf(docs), max_frequency=0.002)
 
 
-@register(None)
+def similar_sql(most, ending, first_only):
+    """prev and key differ in inflection alone, in hex digits of their bytes."""
+    pairs = "list_zip(string_split(prev, ' '), string_split(key, ' '))"
+    cut = lambda x: f"left(hex(encode({x})), 2 * (least(strlen(p[1]), strlen(p[2])) - {ending}))"
+    unlike = f"p[1] <> p[2] AND NOT (strlen(p[1]) > 8 AND strlen(p[2]) > 8 AND abs(strlen(p[1]) - strlen(p[2])) < {most} AND {cut('p[1]')} = {cut('p[2]')})"
+    rest = f" AND len(list_filter({pairs}[2:], lambda p: p[1] <> p[2])) = 0" if first_only else ""
+    return f"(len(list_filter({pairs}, lambda p: {unlike})) = 0 AND len(list_filter({pairs}, lambda p: p[1] <> p[2])) <= {most}{rest})"
+
+
+SIMILAR = f"len(string_split(prev, ' ')) = len(string_split(key, ' ')) AND ({similar_sql(3, 2, False)} OR {similar_sql(2, 4, True)})"
+
+
+@register(f"{CLUSTERS}, l AS (SELECT key, cnt, lag(key) OVER (ORDER BY key) AS prev FROM c), m AS (SELECT key, cnt, sum((NOT coalesce({SIMILAR}, false))::INT) OVER (ORDER BY key) AS island FROM l) SELECT min(key) AS head, count(*) AS n, sum(cnt)::BIGINT AS cnt FROM m GROUP BY island")
 def merge_similar(spark, d):
     """Islands of similar keys; the fixtures of the key test are in the unit tests."""
     return P.merge_similar(C.clusters(occurrences(spark, d), read(spark, d, "documents")).select("key", "cnt"))

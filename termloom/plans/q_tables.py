@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from termloom.operators import evaluation as E
 from termloom.operators import relations as R
 from termloom.operators import selection as S
-from termloom.plans.q_relations import EDGES, INV, SCORED, edges, scored
+from termloom.plans.q_relations import EDGES, SCORED, edges, scored
 from termloom.plans.q_text import read
 from termloom.plans.registry import register
 
@@ -133,3 +133,14 @@ def paraphrase_filter(spark, d):
 def enriched_rows(spark, d):
     base = read(spark, d, "customer").select(F.col("c_name").alias("key"), F.col("c_nationkey").cast("int").alias("size"), F.round("c_acctbal", 4).alias("frequency"))
     return S.with_one_word_terms(base, read(spark, d, "part").select(F.col("p_name").alias("noun")), 300, "N")
+
+
+FLAG_SCORES = "SELECT key, phrase, " + ", ".join(f"(length(key) * {3 + i} + length(phrase) * {5 + 2 * i} + key[2:]::INT * {7 + i}) % 10 / 10 AS {f}" for i, f in enumerate(R.FLAGS)) + f" FROM ({EDGES})"
+YES = f"SELECT key, phrase, {', '.join(f'{f} > 0.5 AS {f}' for f in R.FLAGS)}, round(({' + '.join(f'abs({f} - 0.5)' for f in R.FLAGS)}) / 5, 6) AS confidence FROM ({FLAG_SCORES})"
+
+
+@register(f"""WITH y AS ({YES}), j AS (SELECT y.*, y.is_hypernym OR (coalesce(b.is_hyponym, false) AND NOT y.is_hyponym) AS h1, y.is_hyponym OR (coalesce(b.is_hypernym, false) AND NOT y.is_hypernym) AS h2 FROM y LEFT JOIN y b ON y.key = b.phrase AND y.phrase = b.key)
+SELECT key, phrase, CASE WHEN is_related THEN 'related' WHEN is_synonym THEN 'synonym' WHEN is_usage_variant THEN 'usage_variant' WHEN h1 AND NOT is_synonym THEN 'hypernym' WHEN h2 AND NOT is_synonym THEN 'hyponym' ELSE 'not_related' END AS relation, confidence FROM j""")
+def consistent_predictions(spark, d):
+    n = F.substr("key", F.lit(2)).cast("int")
+    return R.consistent_predictions(edges(spark, d).select("key", "phrase", *((((F.length("key") * (3 + i) + F.length("phrase") * (5 + 2 * i) + n * (7 + i)) % 10) / 10).alias(f) for i, f in enumerate(R.FLAGS))))

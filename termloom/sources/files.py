@@ -53,3 +53,32 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
     """Topic lines without Latin letters, their trailing count cut off, more than three bytes."""
     t = F.trim(F.regexp_replace(F.lower("value"), r"\d+$", ""))
     return spark.read.text(path).where(~F.col("value").rlike("[A-Za-z]")).select(t.alias("topic")).where(F.octet_length("topic") > 3).distinct()
+
+
+SENTENCES = "totalSentences INT, sentences ARRAY<STRUCT<docNum: BIGINT, sentNum: BIGINT, originalStr: STRING, normalizedStr: STRING>>"
+
+
+def tokenized_sentences(spark: SparkSession, path: str, min_bytes: int = 50) -> DataFrame:
+    """doc_id, sent_no, sentence, normalized of a sentence file; normalised forms of too few bytes are left out."""
+    s = spark.read.schema(SENTENCES).option("multiLine", True).json(path).select(F.explode("sentences").alias("s"))
+    return s.select(F.col("s.docNum").alias("doc_id"), F.col("s.sentNum").alias("sent_no"), F.col("s.originalStr").alias("sentence"), F.col("s.normalizedStr").alias("normalized")).where(F.octet_length("normalized") >= min_bytes)
+
+
+CORPUS = "0_totalDocuments INT, 1_totalTexts INT, 2_totalWords INT, 3_documentFrequency MAP<STRING, INT>, 4_wordFrequency MAP<STRING, INT>, 5_documents ARRAY<STRUCT<filename: STRING, texts: ARRAY<STRING>>>"
+
+
+def corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A corpus file as texts (title, para), word statistics (w, wf, df) and totals (one row)."""
+    c = spark.read.schema(CORPUS).option("multiLine", True).json(path)
+    texts = c.select(F.explode("5_documents").alias("d")).select(F.col("d.filename").alias("title"), F.explode("d.texts").alias("para"))
+    wf, df = (c.select(F.explode(k).alias("w", n)) for k, n in (("4_wordFrequency", "wf"), ("3_documentFrequency", "df")))
+    return texts, wf.join(df, "w", "left"), c.select(F.col("0_totalDocuments").alias("total_docs"), F.col("1_totalTexts").alias("total_texts"), F.col("2_totalWords").alias("total_words"))
+
+
+CLUSTER = "MAP<STRING, STRUCT<`0_phrase_size`: INT, `1_frequency`: DOUBLE, `2_topic_relevance`: DOUBLE, `3_centrality_score`: DOUBLE, `4_tag_match`: BOOLEAN, `5_model_name`: STRING>>"
+
+
+def clusters(spark: SparkSession, path: str) -> DataFrame:
+    """key and measures of a file of clusters, an object with a member for each key."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", CLUSTER)).alias("key", "c"))
+    return whole.select("key", *(F.col(f"c.{i}_{n}").alias(n) for i, n in enumerate(("phrase_size", "frequency", "topic_relevance", "centrality_score", "tag_match", "model_name"))))

@@ -35,3 +35,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = docs.select(F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("w").count()
     assert {tuple(r) for r in spark.sql("select * from wc").collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_corpus_sentences_and_clusters(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"0_totalDocuments": 1, "1_totalTexts": 2, "2_totalWords": 3, "3_documentFrequency": {"a": 1}, "4_wordFrequency": {"a": 2, "b": 1}, "5_documents": [{"filename": "t", "texts": ["a a", "b"]}]}')
+    texts, stats, totals = files.corpus(spark, str(tmp_path / "c.json"))
+    assert sorted(map(tuple, texts.collect())) == [("t", "a a"), ("t", "b")] and sorted(map(tuple, stats.collect())) == [("a", 2, 1), ("b", 1, None)] and tuple(totals.first()) == (1, 2, 3)
+    (tmp_path / "s.json").write_text('{"totalSentences": 2, "sentences": [{"docNum": 1, "sentNum": 0, "originalStr": "X", "normalizedStr": "' + "y" * 50 + '"}, {"docNum": 1, "sentNum": 1, "originalStr": "Z", "normalizedStr": "z"}]}')
+    assert [r["sentence"] for r in files.tokenized_sentences(spark, str(tmp_path / "s.json")).collect()] == ["X"]
+    (tmp_path / "k.json").write_text('{"a b": {"0_phrase_size": 2, "1_frequency": 0.5, "4_tag_match": true, "5_model_name": "m"}}')
+    assert tuple(files.clusters(spark, str(tmp_path / "k.json")).first()) == ("a b", 2, 0.5, None, None, True, "m")
