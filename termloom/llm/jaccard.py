@@ -1,0 +1,134 @@
+"""Near copies by exact Jaccard similarity of word shingles.
+
+Two texts link if the sets of their SHINGLE-word shingles have a Jaccard similarity of
+LEAST or more; a component is what links reach.
+
+Texts with equal sets are one class, of which one row stands for all.  Classes become
+candidates where all ROWS minima of a band agree: a pair of similarity s is missed with
+probability (1 - s**ROWS)**BANDS, 6e-7 at 0.8 and less above.  Every candidate is held
+against the whole sets, so no link is false.  First each bucket's classes are checked
+against its smallest; then, in buckets that this leaves in several components, all
+pairs of different components whose sizes admit the similarity.  A bucket of near
+copies costs in proportion to its classes; nothing is dropped.
+
+Words are those of op7.  Fewer words than a shingle count as one shingle, texts without
+words have the empty set and are one class.
+"""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from termloom.llm.common import as_bytes, cut, small_batches
+from termloom.llm.simhash import components
+
+SHINGLE, SEED = 5, 42
+#: Least similarity of a link, as a fraction.
+LEAST = (4, 5)
+BANDS, ROWS = 20, 3
+STRIP = 4096
+_rng = np.random.default_rng(7)
+FACTORS = _rng.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+TERMS = _rng.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([h(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-size]])
+    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """A key for each band, the band's number hashed in."""
+    if not len(own):
+        return []
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(own), STRIP):
+        low = np.minimum(low, (own[at : at + STRIP] * FACTORS + TERMS).min(1))
+    low = low.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(low[k].tobytes(), k) for k in range(BANDS)]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def signatures(rows: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """key, cls (equal for equal sets), n (the set's size) and the bands' keys of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(x) for x in as_bytes(b.column(1))]
+            cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            keys = [np.array(band_keys(x), np.uint64).view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "cls", "n", "bands"])
+
+    return small_batches(rows).select(F.col(key_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "key long, cls long, n long, bands array<long>")
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, near of each pair of classes: whether their sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+    left, right = (sets.select(F.col("cls").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
+    return cut(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long, near boolean"))
+
+
+def sets_of(rows: DataFrame, key_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """cls and own, the bytes of its set, for the classes of wanted (cls, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).tobytes() for x in as_bytes(b.column(1))], pa.binary())], names=["cls", "own"])
+
+    texts = rows.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    return cut(texts.join(wanted, "key").select("cls", "text").mapInArrow(run, "cls long, own binary"))
+
+
+def copies(rows: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key_col (a long, distinct) and first, the key of the row of smallest id in its component, of each row.
+
+    Null ids come last; equal ids go by the text's class, then the key.
+    """
+    signs = cut(signatures(rows, key_col, text_col))
+    classes = cut(signs.groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    dealt = cut(classes.select("cls", "n", F.explode("bands").alias("band")))
+    roots = dealt.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("size")).where("size > 1").select("band", "a")
+    fits = lambda m, n: F.least(m, n) * LEAST[1] >= F.greatest(m, n) * LEAST[0]
+    dealt = cut(dealt.join(roots, "band"))
+    sizes = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"))
+    star = cut(dealt.where("cls <> a").select("a", F.col("cls").alias("b"), "n").distinct().join(sizes, "a").where(fits(F.col("n"), F.col("n_a"))).select("a", "b"))
+    sets = sets_of(rows, key_col, text_col, dealt.select("cls").distinct().join(classes.select("cls", "key"), "cls"))
+    near = checked(star, sets).where("near").select("a", "b")
+    label = cut(components(near))
+    placed = cut(dealt.join(label.withColumnRenamed("fp", "cls"), "cls", "left").select("band", "cls", "n", F.coalesce("root", "cls").alias("root")))
+    split = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    open_ = cut(placed.join(split, "band", "left_semi"))
+    a, b = (open_.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "root"))) for k in "ab")
+    rest = a.join(b, "band").where((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")))
+    rest = rest.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    more = checked(rest, sets).where("near").select("a", "b")
+    if not more.isEmpty():
+        label = cut(components(near.unionAll(more)))
+    grouped = signs.select("key", "cls").join(label.withColumnRenamed("fp", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    ids = rows.select(F.col(key_col).cast("long").alias("key"), F.col(id_col).alias("id"))
+    own = cut(grouped.join(ids, "key"))
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "cls", "key")).alias("x")).select("root", F.col("x.key").alias("first"))
+    return own.join(first, "root").select(F.col("key").alias(key_col), "first")

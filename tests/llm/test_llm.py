@@ -339,3 +339,42 @@ def test_pipeline(spark, tmp_path):
     empty = df.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard_components(texts):
+    sets = [five_words(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            near = a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j])
+            if near and label[i] != label[j]:
+                x, y = label[i], label[j]
+                label = [min(x, y) if k in (x, y) else k for k in label]
+    return label
+
+
+def test_pipeline_near_copies_by_brute_force(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(3)
+    texts = []
+    for n in (60, 120, 300, 900):
+        for _ in range(6):
+            base = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(5):  # edited copies on both sides of 0.8
+                own = list(base)
+                for at in rnd.sample(range(n), rnd.randint(1, max(2, n // 25))):
+                    own[at] = f"x{rnd.randrange(5000)}"
+                texts.append(" ".join(own))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = cp.near_dedup(spark, df, str(tmp_path))
+    label = jaccard_components(texts)
+    assert len(set(label)) < len(texts) - 60
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
