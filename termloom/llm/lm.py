@@ -11,11 +11,12 @@ unigram, so that the probabilities of all texts sum to one.  A whole document is
 scored in one sweep; the state is carried from window to window from its first token
 to its end.
 
-Training: every training document gives windows of WINDOW tokens, one and a further
-one for each STEP bytes, at places chosen by hash.  Each task runs truncated
-backpropagation over its windows (the state is carried over CHUNK-token chunks, the
-gradient is not); the tasks' weights are averaged and sent out again, for a few
-rounds.  What is gathered - counts and windows - grows with the corpus.
+Training: every token of every training document, in each round.  Documents are dealt
+to tasks, each of which lays its own one after another in lanes and runs truncated
+backpropagation over all their chunks: the state is carried from CHUNK tokens to the
+next through the whole document and starts anew with each, the gradient stays in the
+chunk.  The tasks' weights are averaged by tokens and sent out again, for a few rounds.
+What is gathered - counts and ids - grows with the corpus.
 
 Frequent tokens are looked up in a list of bounded length; the others are joined with
 the counts.  Null and empty texts are the end alone.  A null doc_id counts as the text
@@ -23,6 +24,7 @@ the counts.  Null and empty texts are the end alone.  A null doc_id counts as th
 documents every token has probability one in the base, as its formula says.
 """
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -30,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +42,9 @@ END = b"\n"  # no word holds white space
 HEAD = 100_000  # tokens whose counts are sent out
 CLASSES, MEMBERS, HIDDEN = 32, 32, 16
 SHORT = CLASSES * MEMBERS
-WINDOW, CHUNK, STEP = 33, 16, 8192
+CHUNK = 16
 RATES = (0.02, 0.01, 0.004)  # of each round
-WINDOWS_A_TASK, MOST_TASKS = 8000, 4096
+TOKENS_A_TASK, MOST_TASKS = 1_000_000, 4096
 NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "wm", "bm")
 
 
@@ -197,46 +198,52 @@ def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, mas
     return g, h, -loss
 
 
-def train(p: dict[str, np.ndarray], windows: np.ndarray, rate: float, batch: int = 128) -> dict[str, np.ndarray]:
-    """Adam over truncated chunks of the windows (rows of ids, -1 behind their end)."""
+def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and targets (lane, chunk, CHUNK; -1 behind a document's end) of whole documents laid one after another in lanes, longest lane first, and which chunks begin a document."""
+    lanes: list[list[np.ndarray]] = [[] for _ in range(min(most, len(docs)))]
+    load = [(0, i) for i in range(len(lanes))]
+    for d in docs:
+        n, i = heapq.heappop(load)
+        lanes[i].append(d)
+        heapq.heappush(load, (n - (1 - len(d)) // CHUNK, i))
+    order = sorted(load, reverse=True)
+    ids = np.full((len(lanes), order[0][0], CHUNK), -1, np.int16)
+    target, first = ids.copy(), np.zeros(ids.shape[:2], bool)
+    for row, (_, i) in enumerate(order):
+        at = 0
+        for d in lanes[i]:
+            n = -((1 - len(d)) // CHUNK)
+            for out, x in ((ids, d[:-1]), (target, d[1:])):
+                out[row, at : at + n].reshape(-1)[: len(x)] = x
+            first[row, at] = True
+            at += n
+    return ids, target, first
+
+
+def train(p: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, batch: int = 128) -> dict[str, np.ndarray]:
+    """Adam over the chunks of whole documents (END, tokens, END), the state carried from each document's start to its end."""
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    n = 0
-    for at in range(0, len(windows), batch):
-        w = windows[at : at + batch]
-        h = np.zeros((len(w), HIDDEN), np.float32)
-        for lo in range(0, WINDOW - 1, CHUNK):
-            target = w[:, lo + 1 : lo + 1 + CHUNK]
-            mask = (target >= 0).astype(np.float32)
-            if not mask.any():
-                break
-            g, h, _ = gradients(p, np.maximum(w[:, lo : lo + CHUNK], 0), np.maximum(target, 0), mask, h)
-            n += 1
-            for k in NAMES:
-                d = g[k] / max(1.0, mask.sum())
-                m[k] += 0.1 * (d - m[k])
-                v[k] += 0.005 * (d * d - v[k])
-                p[k] -= rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.995**n)) + 1e-6)
+    ids, target, first = lanes_of(docs, batch)
+    h = np.zeros((len(ids), HIDDEN), np.float32)
+    for n in range(1, ids.shape[1] + 1):
+        rows = int((target[:, n - 1, 0] >= 0).sum())  # lanes that haven't ended
+        h = np.where(first[:rows, n - 1, None], np.float32(0), h[:rows])
+        y = target[:rows, n - 1].astype(np.int64)
+        mask = (y >= 0).astype(np.float32)
+        g, h, _ = gradients(p, np.maximum(ids[:rows, n - 1], 0).astype(np.int64), np.maximum(y, 0), mask, h)
+        for k in NAMES:
+            d = g[k] / max(1.0, mask.sum())
+            m[k] += 0.1 * (d - m[k])
+            v[k] += 0.005 * (d * d - v[k])
+            p[k] -= rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.995**n)) + 1e-6)
     return p
 
 
-def windows_of(doc, text: bytes, short: dict[bytes, int]) -> list[bytes]:
-    out = []
-    for k in range(1 + len(text) // STEP):
-        at = xxhash.xxh64_intdigest(f"{doc}:{k}".encode()) % len(text) if k else 0
-        # Words are short beside this; a longer one just shortens the window.
-        piece = text[at : at + 24 * WINDOW]
-        own = piece.lower().split()
-        if at and own and not text[at - 1 : at].isspace() and not piece[:1].isspace():
-            own = own[1:]
-        if at + len(piece) < len(text):
-            own = own[:-1] if own and not piece[-1:].isspace() else own
-        else:
-            own.append(END)
-        ids = [short.get(w, 0) for w in own[:WINDOW]] if at else [short.get(END, 0), *(short.get(w, 0) for w in own[: WINDOW - 1])]
-        if len(ids) > 1:
-            out.append(np.array(ids + [-1] * (WINDOW - len(ids)), np.int16).tobytes())
-    return out
+def ids_of(text: bytes, short: dict[bytes, int]) -> bytes:
+    """The whole document's short-list ids between two ENDs."""
+    get = short.get
+    return np.array([get(END, 0), *(get(w, 0) for w in tokens(text))], np.int16).tobytes()
 
 
 def trained(rows: DataFrame, p: dict[str, np.ndarray], short: dict[bytes, int]) -> dict[str, np.ndarray]:
@@ -245,35 +252,37 @@ def trained(rows: DataFrame, p: dict[str, np.ndarray], short: dict[bytes, int])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [w for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True) if not held_out(doc) for w in windows_of(doc, text, words.value)]
+            own = [ids_of(text, words.value) for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True) if not held_out(doc)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["ids"])
 
-    windows = cut(rows.mapInArrow(collect, "ids binary"))
-    n = windows.count()
+    docs = cut(rows.mapInArrow(collect, "ids binary").withColumn("key", F.xxhash64("ids", F.monotonically_increasing_id())))
+    n = docs.agg(F.sum(F.length("ids") / 2)).first()[0]
     if not n:
         return p
-    tasks = min(MOST_TASKS, -(-n // WINDOWS_A_TASK))
+    tasks = min(MOST_TASKS, -(-int(n) // TOKENS_A_TASK))
     shards = math.isqrt(tasks - 1) + 1
-    dealt = windows.withColumn("task", F.pmod(F.xxhash64("ids", F.monotonically_increasing_id()), F.lit(tasks)).cast("int")).repartition(tasks, "task")
+    dealt = docs.select("ids", F.pmod("key", F.lit(tasks)).cast("int").alias("task")).repartition(tasks, "task")
     for rate in RATES:
         sent = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
-            own, key, size, held = sent.value, 0, 0, []
+            own, key, size, waiting, held = sent.value, 0, 0, 0, []
 
             def learn() -> None:
-                nonlocal own
-                w = np.frombuffer(b"".join(held), np.int16).reshape(-1, WINDOW).astype(np.int64)
+                nonlocal own, waiting
+                own = train(own, [np.frombuffer(x, np.int16) for x in held], rate)
                 held.clear()
-                own = train(own, w, rate)
+                waiting = 0
 
             for b in batches:
                 if b.num_rows:
                     key = b.column(1)[0].as_py()
-                    held += b.column(0).to_pylist()
-                    size += b.num_rows
-                    if len(held) >= 2 * WINDOWS_A_TASK:
-                        learn()
+                    for x in b.column(0).to_pylist():
+                        held.append(x)
+                        size += len(x) // 2
+                        waiting += len(x) // 2
+                        if waiting >= 2 * TOKENS_A_TASK:
+                            learn()
             if held:
                 learn()
             if size:

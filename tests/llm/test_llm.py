@@ -378,3 +378,24 @@ def test_pipeline_near_copies_by_brute_force(spark, tmp_path):
     label = jaccard_components(texts)
     assert len(set(label)) < len(texts) - 60
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
+
+
+def test_lm_learns_from_whole_documents(spark):
+    rows = [(i, " ".join(["a b c d"] * 12 + ["le chat la maison"] * 60)) for i in range(400)]  # the first 32 words don't show the rest
+    r = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    assert r[0] > -0.1 * r[1]
+
+
+def test_lm_lanes_hold_every_token():
+    rnd = random.Random(2)
+    docs = [np.array([1, *(rnd.randrange(900) for _ in range(rnd.randrange(120))), 1], np.int16) for _ in range(50)]
+    ids, target, first = lm.lanes_of(docs, 7)
+    assert first.sum() == len(docs) and (target >= 0).sum() == sum(len(d) - 1 for d in docs)
+    found = []
+    for row in range(len(ids)):
+        starts = [*np.nonzero(first[row])[0], ids.shape[1]]
+        for a, z in zip(starts, starts[1:], strict=False):
+            x, y = ids[row, a:z].ravel(), target[row, a:z].ravel()
+            found.append([*x[x >= 0][:1], *y[y >= 0]])
+            assert x[x >= 0][1:].tolist() == y[y >= 0][:-1].tolist()
+    assert sorted(found) == sorted(d.tolist() for d in docs)
