@@ -4,8 +4,8 @@ Three base patterns find secrets by their shape.  Beside them a small lexer read
 source and configuration syntax (``name = "literal"``, ``name: literal``,
 ``"name": 'literal'``, ``name => literal``, ``NAME=literal``) into name-literal
 pairs, follows names that were bound to literals earlier in the text, joins
-literals added with ``+``, and scores each literal by the most sensitive name that
-it reaches.  A literal with a high score that no base span holds becomes a span of
+literals and names added with ``+``, and scores each literal by the most sensitive
+name that it reaches; a name's score sums its distinct sensitive words.  A literal with a high score that no base span holds becomes a span of
 kind ``lexed``.
 
 Null and empty texts have no spans.  Spans count code points, end exclusive.
@@ -32,6 +32,9 @@ STEMS = ("passw", "secret", "token", "apikey", "api_key")
 
 LITERAL = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 PAIR = re.compile(rf"[\"']?([A-Za-z_][A-Za-z0-9_.-]*)[\"']?\]?[ \t]*(?::=|=>|==?|:)[ \t]*((?:{LITERAL})(?:[ \t]*\+[ \t]*(?:{LITERAL}))*|[^\s,;#\"'`(){{}}\[\]]+)")
+NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
+#: What follows a value that is a name or literals: more of them, joined by +.
+MORE = re.compile(rf"[ \t]*\+[ \t]*(?:({LITERAL})|({NAME}))")
 PART = re.compile(LITERAL)
 LINE = re.compile(r"[^\n]*[:=][^\n]*")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -39,13 +42,30 @@ REFERENCE = re.compile(r"^(?:\$\{?|%\(|\{\{ ?)?([A-Za-z_][A-Za-z0-9_.-]*?)(?:\}|
 
 #: How sensitive a part of a name is.
 WEIGHT = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 3.0, "secret": 3.0, "token": 3.0, "apikey": 3.0, "credential": 3.0, "credentials": 3.0, "pass": 2.0, "cred": 2.0, "auth": 2.0, "bearer": 2.0, "private": 1.5, "key": 1.5, "salt": 1.5, "api": 1.0, "access": 1.0, "signing": 1.0, "encryption": 1.0}
+#: Those looked up inside names written as one word, longest first; short ones stand in plain words (compass, author, basalt, monkey, capital).
+INSIDE = sorted((w for w in WEIGHT if len(w) > 5 or w in ("token", "pwd")), key=lambda w: (-len(w), w))
+#: One-word names that end in a short sensitive word after one of these hold it too.
+COMPOUND = re.compile(r"(?:access|account|api|auth|client|crypt|db|encryption|host|master|private|secret|service|shared|signing|ssh|storage|user)(key|pass|auth|salt|cred)s?$")
 #: Literals that stand for a value to be filled in.
 PLACEHOLDER = re.compile(r"(?i)^(?:none|null|nil|true|false|undefined|change_?me|example.*|your.*|xxx+|\*+|<.*>|\.\.\.+|test|todo|password|secret|token)$")
-LEAST_SCORE = 1.6
+LEAST_SCORE = 1.4
+
+
+def name_words(word: str) -> set[str]:
+    """The sensitive words of one word of a name: itself, its singular, or the longest that stand in it without overlap."""
+    for w in (word, word.removesuffix("s")):
+        if w in WEIGHT:
+            return {w}
+    found, whole = set(), word
+    for w in INSIDE:
+        if w in word:
+            found.add(w)
+            word = word.replace(w, " ")
+    return found | ({m[1]} if (m := COMPOUND.search(whole)) else set())
 
 
 def name_score(name: str) -> float:
-    return sum({WEIGHT.get(w.lower(), 0.0): 0 for w in WORD.findall(name)} or [0.0])
+    return sum(WEIGHT[w] for w in set().union(*(name_words(w.lower()) for w in WORD.findall(name))))
 
 
 def literal_score(value: str, quoted: bool) -> float:
@@ -67,12 +87,24 @@ def lexed_pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
         for m in PAIR.finditer(text, line.start(), line.end()):
             name, value = m[1], m[2]
             if value[0] in "\"'`":
-                found = [(p.start() + 1, p.end() - 1, True) for p in PART.finditer(text, m.start(2), m.end(2))]
+                found, at = [(p.start() + 1, p.end() - 1, True) for p in PART.finditer(text, m.start(2), m.end(2))], m.end(2)
             else:
-                ref = REFERENCE.match(value)
+                # The value may hold names joined without spaces: only the first is taken here.
+                head = value.split("+", 1)[0]
+                ref = REFERENCE.match(head)
                 found = bound.get(ref[1]) if ref else None
+                at = m.start(2) + len(head) if found is not None else m.end(2)
+                joined = MORE.match(text, m.start(2) + len(head), line.end())
+                if found is None and ref and joined and (joined[1] or joined[2] in bound):
+                    found, at = [], m.start(2) + len(head)
                 if found is None:
                     found = [(m.start(2), m.end(2), False)]
+            # Each further literal, and each further name that is bound.
+            while p := MORE.match(text, at, line.end()):
+                found = list(dict.fromkeys([*found, *([(p.start(1) + 1, p.end(1) - 1, True)] if p[1] else bound.get(p[2], []))]))
+                at = p.end()
+            if not found:
+                continue
             bound[name] = found
             pairs.append((name, found))
     return pairs

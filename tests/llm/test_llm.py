@@ -399,3 +399,18 @@ def test_lm_lanes_hold_every_token():
             found.append([*x[x >= 0][:1], *y[y >= 0]])
             assert x[x >= 0][1:].tolist() == y[y >= 0][:-1].tolist()
     assert sorted(found) == sorted(d.tolist() for d in docs)
+
+
+def test_secrets_names_and_concatenations():
+    lexed = lambda t: [t[s:e] for k, s, e in secrets.find_secrets(t) if k == "lexed"]
+    value = "Zx9!kkQpLm27"
+    for name in ("private_key", "privateKey", "AccountKey", "key", "dbpassword", "clientsecret", "authtoken", "accesskey", "credentials", "passphrases", "api_keys"):
+        assert lexed(f'{name} = "{value}"') == [value], name
+    assert lexed('dbpassword = "p@$$w0rd!"') == ["p@$$w0rd!"]
+    for name in ("author", "monkey", "compass", "title", "capital"):
+        assert lexed(f'{name} = "{value}"') == [], name
+    for t in ("t = A + B", "t = A+B"):
+        text = f'A = "Zx9!kk"\nB = "QpLm27#v"\n{t}\nsession_auth = t'
+        assert lexed(text) == ["Zx9!kk", "QpLm27#v"], t
+    assert secrets.name_score("private_key") == 3.0
+    assert lexed('A = "Zx9!kkQpLm27"\n' + "A = A + A\n" * 60 + "auth = A") == [value]
