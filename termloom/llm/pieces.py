@@ -2,23 +2,30 @@
 
 Byte-pair pieces are merged as the agenda of a SentencePiece model would: always the
 waiting pair whose merged piece has the best score, leftmost among equals.  With
-dropout, a candidate merge that comes up is skipped for good if a keyed hash of (seed,
-variant, unit, place, pair) falls below the rate, so one seed always gives one
-segmentation and other seeds or variants give others.  All of them decode to the same
-text, byte for byte.
+dropout, the candidate that comes up t-th in a unit's agenda is skipped for good if a
+keyed hash of (seed, document, place of the unit in the text, t) falls below the rate.
+One seed always gives one segmentation; each occurrence of a word has its own.  All of
+them decode to the same text, byte for byte.
 
 Pieces don't cross from a letter to a following space, and characters that are in no
 piece become byte pieces that never merge; so a text falls into units (spaces and what
-follows them, split at line feeds) that are segmented on their own.  Equal units of a
-batch are segmented once, all short ones at the same time in numpy; long units go
-through a heap.
+follows them, split at line feeds) that are segmented on their own.
+
+What is remembered is the agenda, not the outcome of an occurrence: a unit has a tree
+whose root is the run without skips (its number of candidates and its pieces) and whose
+child t is the run that skips candidate t as well.  An occurrence draws its hashes
+candidate by candidate, moves to a child at each skip, and ends where no candidate is
+left; runs that aren't known yet are made for all occurrences of a slice together in
+numpy.  Units of more than WIDE symbols go through a heap, one occurrence at a time.
 
 Null text counts as empty: no pieces, decoded as empty.  The space mark itself, and
-every character that is not a piece, is written in byte pieces.  Very long texts and
-units cost n log n.  Rows stay rows; an empty table gives no rows.
+every character that is not a piece, is written in byte pieces.  Rows of one id have one
+segmentation, unless turn_col tells them apart.  Very long texts and units cost n log n.
+Rows stay rows; an empty table gives no rows.
 """
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +39,12 @@ from termloom.llm.common import as_bytes, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-#: Documents are dealt to so many variants of the segmentation by their id.
-VARIANTS = 2
 SPACE = "▁"
-#: Units of more symbols go through the heap.
-WIDE = 24
+#: Units of more symbols go through the heap; the candidates of WIDE symbols fit in 64 bits.
+WIDE = 20
 TABLE_BITS = 18
-#: Units that are remembered; the older half goes when there are more.
-KEEP_UNITS = 240_000
+#: Runs that are remembered; those of little use go when there are more.
+KEEP_RUNS = 600_000
 #: Bytes of text that are encoded together, one text at least.
 SLICE = 2_000_000
 
@@ -100,19 +105,22 @@ class Model:
 
     def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merged piece of each pair, -1 for none."""
+        # Pieces number fewer than 65,535, so -1 on either side gives no pair's key.
         key = a.astype(np.int64) * 65536 + b
-        out = np.full(key.shape, -1, np.int32)
-        todo = (a >= 0) & (b >= 0)
-        for probe in range(self.probes):
-            if not todo.any():
+        at = self._slot(key, 0)
+        found = self.keys[at]
+        out = np.where(found == key, self.values[at], np.int32(-1))
+        todo = np.nonzero((found != key) & (found != -1))
+        for probe in range(1, self.probes):
+            if not len(todo[0]):
                 break
             own = key[todo]
             at = self._slot(own, probe)
             found = self.keys[at]
-            got = out[todo]
-            got[found == own] = self.values[at][found == own]
-            out[todo] = got
-            todo[todo] = (found != own) & (found != -1)
+            hit = found == own
+            out[tuple(x[hit] for x in todo)] = self.values[at[hit]]
+            open_ = ~hit & (found != -1)
+            todo = tuple(x[open_] for x in todo)
         return out
 
     def symbols(self, unit: bytes) -> list[int]:
@@ -124,16 +132,19 @@ class Model:
         return out
 
 
-def skip_key(seed: int, variant: int, unit: bytes) -> int:
-    return xxhash.xxh64_intdigest(unit, (seed * 1_000_003 + variant) % 2**64)
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
-def skipped(key: np.ndarray, place: np.ndarray, pair: np.ndarray, rate: float) -> np.ndarray:
-    """Whether the candidate that merges `pair` at symbol `place` of the unit with that key is left out."""
-    x = key ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (pair.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    return (x >> np.uint64(11)).astype(np.float64) < rate * 2**53
+def unit_keys(doc: int, n: int) -> np.ndarray:
+    """A key for each of a document's n units."""
+    return mix(np.uint64(doc) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def skipped(key: np.ndarray, t: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the t-th candidate of the unit with that key is left out."""
+    return mix(key + t.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) < np.uint64(min(int(rate * 2**64), 2**64 - 1))
 
 
 def segment_long(model: Model, symbols: list[int], key: int, rate: float) -> list[int]:
@@ -149,16 +160,20 @@ def segment_long(model: Model, symbols: list[int], key: int, rate: float) -> lis
 
     for i in range(n - 1):
         offer(i)
-    one = np.zeros(1, np.uint64)
+    t, bad = 0, np.zeros(0, bool)
+    one = np.full(4096, key, np.uint64)
     while heap:
         _, i, a, b = heapq.heappop(heap)
         j = after[i]
         if ids[i] != a or j < 0 or ids[j] != b:
             continue
-        pair = a * 65536 + b
-        if rate and skipped(one + np.uint64(key), np.array([i]), np.array([pair]), rate)[0]:
-            continue
-        ids[i], ids[j] = model.pairs[pair], -1
+        if rate:
+            if t % 4096 == 0:
+                bad = skipped(one, np.arange(t, t + 4096), rate)
+            t += 1
+            if bad[(t - 1) % 4096]:
+                continue
+        ids[i], ids[j] = model.pairs[a * 65536 + b], -1
         after[i] = after[j]
         if after[j] >= 0:
             before[after[j]] = i
@@ -167,90 +182,93 @@ def segment_long(model: Model, symbols: list[int], key: int, rate: float) -> lis
     return [x for x in ids if x >= 0]
 
 
-def segment_short(model: Model, rows: np.ndarray, keys: np.ndarray, rate: float) -> list[bytes]:
-    """The same agenda for many units at once, one row of symbols each: each round merges the best candidate of every unit."""
+def segment_short(model: Model, rows: np.ndarray, masks: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The same agenda for many units at once, one row of symbols each: each round takes the best candidate of every unit, which is skipped if its bit of the mask is set.
+
+    Pieces and number of candidates of each.
+    """
     n, width = rows.shape
-    ids = rows.copy()
-    at = np.broadcast_to(np.arange(width), (n, width)).copy()  # the symbol at which each piece lengths
     none = np.iinfo(np.int32).max
+    done: list[bytes] = [b""] * n
+    count = np.zeros(n, np.int64)
+    left = masks.astype(np.uint64)
+    ids = rows.copy()
     cand = model.merge(ids[:, :-1], ids[:, 1:])
     rank = np.where(cand >= 0, model.rank[cand], none)
-
-    def drop(r: np.ndarray, c: np.ndarray) -> None:
-        """Skipped candidates never wait."""
-        if rate and len(r):
-            pair = ids[r, c].astype(np.int64) * 65536 + ids[r, c + 1]
-            bad = skipped(keys[r], at[r, c], pair, rate)
-            rank[r[bad], c[bad]] = none
-
-    drop(*np.nonzero(cand >= 0))
-    live = np.arange(n)
-    while width > 1 and len(live):
-        best = rank[live].argmin(1)
-        live_ok = rank[live, best] != none
-        live, best = live[live_ok], best[live_ok]
-        if not len(live):
-            break
-        merged = cand[live, best]
-        ids[live, best] = merged
-        cols = np.arange(width - 1)
-        src = np.where(cols[None, :] > best[:, None], cols[None, :] + 1, cols[None, :])
-        for x in (ids, at):
-            rest = x[live]
-            x[live, : width - 1] = np.take_along_axis(rest, src, 1)
-            x[live, width - 1] = -1
+    at = np.arange(n)
+
+    def finish(rows: np.ndarray) -> None:
+        own = ids[rows]
+        sizes = (own >= 0).sum(1)
+        flat, ends = own[own >= 0].tobytes(), (4 * np.cumsum(sizes)).tolist()
+        for k, a, z in zip(at[rows].tolist(), [0, *ends[:-1]], ends, strict=True):
+            done[k] = flat[a:z]
+
+    line = np.arange(n)
+    while len(at):
+        best = rank.argmin(1) if width > 1 else np.zeros(len(at), np.int64)
+        over = rank[line, best] == none if width > 1 else np.ones(len(at), bool)
+        if over.any():
+            finish(np.nonzero(over)[0])
+            keep = ~over
+            at, ids, cand, rank, best, left = at[keep], ids[keep], cand[keep], rank[keep], best[keep], left[keep]
+            line = np.arange(len(at))
+            if not len(at):
+                break
+        skip = (left & np.uint64(1)).astype(bool)
+        left >>= np.uint64(1)
+        count[at] += 1
+        rank[line[skip], best[skip]] = none
+        r = line[~skip]
+        if not len(r):
+            continue
+        b = best[~skip]
+        whole = len(r) == len(at)
+        x, c, k = (ids, cand, rank) if whole else (ids[r], cand[r], rank[r])
+        new = c[np.arange(len(r)), b]
+        beyond = np.arange(width)[None, :] > b[:, None]
+        x[:, :-1] = np.where(beyond[:, :-1], x[:, 1:], x[:, :-1])
+        x[:, -1] = -1
+        own = np.arange(len(r))
+        x[own, b] = new
         if width > 2:
             # Candidates right of the merged pair move one to the left, then the two at the new piece are new.
-            cols = np.arange(width - 2)
-            src = np.where(cols[None, :] >= best[:, None], cols[None, :] + 1, cols[None, :])
-            for x, empty in ((cand, -1), (rank, none)):
-                rest = x[live]
-                x[live, : width - 2] = np.take_along_axis(rest, src, 1)
-                x[live, width - 2] = empty
-            for c in (best - 1, best):
-                ok = (c >= 0) & (c < width - 1)
-                r, c = live[ok], c[ok]
-                m = model.merge(ids[r, c], ids[r, c + 1])
-                cand[r, c] = m
-                rank[r, c] = np.where(m >= 0, model.rank[m], none)
-                drop(r[m >= 0], c[m >= 0])
-        else:
-            cand[live, 0], rank[live, 0] = -1, none
-    full = (ids >= 0).sum(1)
-    flat, ends = ids[ids >= 0].tobytes(), (4 * np.cumsum(full)).tolist()
-    return [flat[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+            move = ~(np.arange(width - 2)[None, :] < b[:, None])
+            c[:, :-1] = np.where(move, c[:, 1:], c[:, :-1])
+            k[:, :-1] = np.where(move, k[:, 1:], k[:, :-1])
+        c[:, -1], k[:, -1] = -1, none
+        for side in (b - 1, b):
+            ok = (side >= 0) & (side < width - 1)
+            i, j = own[ok], side[ok]
+            m = model.merge(x[i, j], x[i, j + 1])
+            c[i, j] = m
+            k[i, j] = np.where(m >= 0, model.rank[m], none)
+        if not whole:
+            ids[r], cand[r], rank[r] = x, c, k
+    return done, count
+
+
+UNIT = re.compile(rb"\n| *[^ \n]+| +")
 
 
 def units_of(text: bytes) -> list[bytes]:
     """The text, with the space that the model puts in front, in units that no piece crosses."""
-    if not text:
-        return []
-    out = []
-    for k, line in enumerate((b" " + text).split(b"\n")):
-        if k:
-            out.append(b"\n")
-        run = 0
-        words = line.split(b" ")
-        if words[0]:
-            out.append(words[0])
-        for w in words[1:]:
-            run += 1
-            if w:
-                out.append(b" " * run + w)
-                run = 0
-        if run:
-            out.append(b" " * run)
-    return out
+    return UNIT.findall(b" " + text) if text else []
 
 
 class Encoder:
-    def __init__(self, model: Model, seed: int = 0, rate: float = DROPOUT):
-        self.model, self.seed, self.rate = model, seed, rate
-        self.known: dict[int, dict[bytes, bytes]] = {}
-        self.older: dict[int, dict[bytes, bytes]] = {}
+    """Runs of units by number: the unit, the mask of skipped candidates, how many candidates came up, the pieces, the uses."""
+
+    def __init__(self, model: Model, seed: int = 0, rate: float = DROPOUT, keep: int = KEEP_RUNS):
+        self.model, self.seed, self.rate, self.keep = model, seed, rate, keep
+        self.root: dict[bytes, int] = {}
+        self.child: dict[int, int] = {}
+        self.units: list[bytes] = []
+        self.pieces: list[bytes] = []
+        self.mask, self.steps, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def matrix(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of many units, one row each, -1 behind them; which units need symbols() instead."""
+        """Symbols of many units, one row each, -1 behind them; which units are of another kind (characters that are no pieces, or many)."""
         raw = np.frombuffer(b"".join(units), np.uint8)
         ends = np.cumsum([len(u) for u in units])
         lengths = np.add.reduceat((raw & 0xC0 != 0x80).astype(np.int64), np.concatenate([[0], ends[:-1]]))
@@ -267,57 +285,119 @@ class Encoder:
         out[row[fits], col[fits]] = ids[fits]
         return out, other
 
-    def learn(self, variant: int, wanted: list[bytes]) -> None:
-        known = self.known.setdefault(variant, {})
-        by_length = sorted(wanted, key=len)
-        for i in range(0, len(by_length), 8192):
-            part = by_length[i : i + 8192]
-            ids, other = self.matrix(part)
-            keys = np.array([skip_key(self.seed, variant, u) for u in part], np.uint64)
+    def add(self, units: list[bytes], masks: np.ndarray) -> int:
+        """Make the runs of these units with these skips; the number of the first.  A run of a unit that is too wide has -1 candidates."""
+        base, n = len(self.units), len(units)
+        pieces: list[bytes] = [b""] * n
+        steps = np.full(n, -1, np.int64)
+        order = sorted(range(n), key=lambda k: len(units[k]))
+        for i in range(0, n, 8192):
+            part = order[i : i + 8192]
+            ids, other = self.matrix([units[k] for k in part])
+            where = np.array(part)
             plain = np.nonzero(~other)[0]
-            if len(plain):
-                for k, x in zip(plain.tolist(), segment_short(self.model, ids[plain], keys[plain], self.rate), strict=True):
-                    known[part[k]] = x
+            sets = [(where[plain], ids[plain])] if len(plain) else []
             for k in np.nonzero(other)[0].tolist():
-                symbols, key = self.model.symbols(part[k]), int(keys[k])
-                if len(symbols) > WIDE:
-                    known[part[k]] = np.array(segment_long(self.model, symbols, key, self.rate), np.int32).tobytes()
-                else:
-                    known[part[k]] = segment_short(self.model, np.array([symbols], np.int32), keys[k : k + 1], self.rate)[0]
-
-    def pieces_of(self, variant: int, units: dict[bytes, int]) -> list[bytes]:
-        """The pieces of each unit, learnt if they aren't known; the units not seen lately are forgotten."""
-        if len(self.known.get(variant, ())) > KEEP_UNITS // (2 * VARIANTS):
-            self.older[variant] = self.known.pop(variant)
-        known, older = self.known.setdefault(variant, {}), self.older.get(variant, {})
-        new = [u for u in units if u not in known]
-        known.update({u: x for u in new if (x := older.get(u)) is not None})
-        self.learn(variant, [u for u in new if u not in known])
-        return [known[u] for u in units]
-
-    def encode(self, texts: list[bytes], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(piece ids of all texts in a row, offsets of the texts in them)."""
-        seen: dict[int, dict[bytes, int]] = {v: {} for v in sorted(set(variants))}
-        use: list[np.ndarray] = []
-        for text, v in zip(texts, variants, strict=True):
-            own = seen[v]
-            use.append(np.array([own.setdefault(u, len(own)) for u in units_of(text)], np.int64))
-        pieces, base = [], {}
-        for v, own in seen.items():
-            base[v] = len(pieces)
-            pieces += self.pieces_of(v, own)
-        counts = [len(x) for x in use]
-        size = np.array([len(x) // 4 for x in pieces], np.int64)
-        flat = np.frombuffer(b"".join(pieces), np.int32)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-        u = np.concatenate([x + base[v] for x, v in zip(use, variants, strict=True)]) if use else np.zeros(0, np.int64)
+                symbols = self.model.symbols(units[part[k]])
+                if len(symbols) <= WIDE:
+                    sets.append((where[k : k + 1], np.array([symbols], np.int32)))
+            for own, rows in sets:
+                found, steps[own] = segment_short(self.model, rows, masks[own])
+                for k, x in zip(own.tolist(), found, strict=True):
+                    pieces[k] = x
+        self.units += units
+        self.pieces += pieces
+        self.mask, self.steps = np.concatenate([self.mask, masks]), np.concatenate([self.steps, steps])
+        self.uses = np.concatenate([self.uses, np.zeros(n, np.int64)])
+        return base
+
+    def forget(self) -> None:
+        """Keep the runs that were used at least twice since the last time; a run is used as often as its children or more."""
+        least = 2
+        while (stay := self.uses >= least).sum() > self.keep // 2:
+            least *= 2
+        number = (np.cumsum(stay) - 1).tolist()
+        kept = np.nonzero(stay)[0].tolist()
+        ok = stay.tolist()
+        self.root = {u: number[k] for u, k in self.root.items() if ok[k]}
+        self.child = {number[k >> 6] << 6 | (k & 63): number[v] for k, v in self.child.items() if ok[v]}
+        self.units, self.pieces = [self.units[k] for k in kept], [self.pieces[k] for k in kept]
+        self.mask, self.steps, self.uses = self.mask[stay], self.steps[stay], np.zeros(len(kept), np.int64)
+
+    def runs_of(self, units: list[bytes], keys: np.ndarray) -> np.ndarray:
+        """The number of the run of each occurrence."""
+        found = list(map(self.root.get, units))
+        if None in found:
+            new = list(dict.fromkeys(u for u, k in zip(units, found, strict=True) if k is None))
+            base = self.add(new, np.zeros(len(new), np.uint64))
+            self.root.update(zip(new, range(base, base + len(new)), strict=True))
+            found = list(map(self.root.get, units))
+        run = np.array(found, np.int64)
+        self.uses += np.bincount(run, minlength=len(self.uses))
+        if not self.rate:
+            return run
+        open_, t = np.nonzero(self.steps[run] > 0)[0], np.zeros(len(run), np.int64)
+        while len(open_):
+            hits = []
+            at, key, own = open_, keys[open_], t[open_]
+            last = self.steps[run[open_]]
+            while len(at):
+                bad = skipped(key, own, self.rate)
+                if bad.any():
+                    hits.append(at[bad])
+                    t[at[bad]] = own[bad]
+                own += 1
+                stay = ~bad & (own < last)
+                at, key, own, last = at[stay], key[stay], own[stay], last[stay]
+            if not hits:
+                break
+            open_ = np.concatenate(hits)
+            wanted, which = np.unique(run[open_] << 6 | t[open_], return_inverse=True)
+            got = list(map(self.child.get, wanted.tolist()))
+            new = [k for k, x in enumerate(got) if x is None]
+            if new:
+                asked = wanted[new]
+                parents = asked >> 6
+                base = self.add([self.units[k] for k in parents.tolist()], self.mask[parents] | np.uint64(1) << (asked & 63).astype(np.uint64))
+                self.child.update(zip(asked.tolist(), range(base, base + len(new)), strict=True))
+                for i, k in enumerate(new):
+                    got[k] = base + i
+            run[open_] = np.array(got, np.int64)[which]
+            self.uses += np.bincount(run[open_], minlength=len(self.uses))
+            t[open_] += 1
+            open_ = open_[t[open_] < self.steps[run[open_]]]
+        return run
+
+    def encode(self, texts: list[bytes], docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids of all texts in a row, offsets of the texts in them); docs are the documents' keys."""
+        if len(self.units) > self.keep:
+            self.forget()
+        split = list(map(units_of, texts))
+        counts = [len(x) for x in split]
+        if not sum(counts):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        units = [u for x in split for u in x]
+        keys = np.concatenate([unit_keys(d, n) for d, n in zip(docs, counts, strict=True)])
+        run = self.runs_of(units, keys)
+        distinct, u = np.unique(run, return_inverse=True)
+        blobs = [self.pieces[k] for k in distinct.tolist()]
+        for i in np.nonzero(self.steps[run] < 0)[0].tolist():  # units on the heap
+            u[i] = len(blobs)
+            blobs.append(np.array(segment_long(self.model, self.model.symbols(units[i]), int(keys[i]), self.rate), np.int32).tobytes())
+        size = np.array([len(x) // 4 for x in blobs], np.int64)
+        flat = np.frombuffer(b"".join(blobs), np.int32)
+        first = np.cumsum(size) - size
         n = size[u]
         ends = np.cumsum(n)
-        take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(first[u], n)
-        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)] if len(counts) else np.zeros(1, np.int64)
+        take = np.arange(ends[-1]) - np.repeat(ends - n - first[u], n)
+        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return flat[take], offsets
 
 
+def doc_key(doc, turn, seed: int) -> int:
+    return xxhash.xxh64_intdigest(f"{doc}:{turn}", seed % 2**64)
+
+
 def decode(model: Model, ids) -> bytes:
     """The text of piece ids: their bytes without the space that was put in front."""
     return b"".join(map(model.raw.__getitem__, ids))[1:]
@@ -336,7 +416,7 @@ def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(first)
 
 
-def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, seed: int = 0, rate: float = DROPOUT, with_text: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, seed: int = 0, rate: float = DROPOUT, with_text: bool = True, turn_col: str | None = None) -> DataFrame:
     """doc_id, pieces (array of piece ids), lossless (they decode to the text) and, if asked for, decoded of each row."""
     spark = small_batches(df).sparkSession
     model = spark.sparkContext.broadcast(Model(model_path).__dict__)  # a fixed vocabulary
@@ -348,8 +428,8 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for whole in batches:
             for b in slices(whole):
                 texts = as_bytes(b.column(1))
-                variants = [xxhash.xxh64_intdigest(str(i), seed) % VARIANTS for i in b.column(0).to_pylist()]
-                ids, offsets = encoder.encode(texts, variants)
+                keys = [doc_key(i, k, seed) for i, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                ids, offsets = encoder.encode(texts, keys)
                 decoded = [decode(m, ids[a:z].tolist()) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
                 pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 out = {"doc_id": b.column(0), "pieces": pieces, "lossless": pa.array([x == y for x, y in zip(texts, decoded, strict=True)], pa.bool_())}
@@ -357,7 +437,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out["decoded"] = pa.array(decoded, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, pieces array<int>, lossless boolean" + ", decoded string" * with_text)
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), (F.col(turn_col) if turn_col else F.lit(0)).cast("long")).mapInArrow(run, "doc_id long, pieces array<int>, lossless boolean" + ", decoded string" * with_text)
 
 
 def digest(df: DataFrame) -> DataFrame:
