@@ -11,12 +11,12 @@ unigram, so that the probabilities of all texts sum to one.  A whole document is
 scored in one sweep; the state is carried from window to window from its first token
 to its end.
 
-Training: every token of every training document, in each round.  Documents are dealt
-to tasks, each of which lays its own one after another in lanes and runs truncated
-backpropagation over all their chunks: the state is carried from CHUNK tokens to the
-next through the whole document and starts anew with each, the gradient stays in the
-chunk.  The tasks' weights are averaged by tokens and sent out again, for a few rounds.
-What is gathered - counts and ids - grows with the corpus.
+Training: one pass over every token of every training document.  Documents are dealt
+to rounds and tasks, each of which lays its own one after another in lanes and runs
+truncated backpropagation over all their chunks: the state is carried from CHUNK tokens
+to the next through the whole document and starts anew with each, the gradient stays in
+the chunk.  After each round the tasks' weights are averaged by tokens and sent out
+again.  What is gathered - counts and ids - grows with the corpus.
 
 Frequent tokens are looked up in a list of bounded length; the others are joined with
 the counts.  Null and empty texts are the end alone.  A null doc_id counts as the text
@@ -29,6 +29,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,15 @@ from termloom.llm.common import as_bytes, cut, small_batches
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # no word holds white space
 HEAD = 100_000  # tokens whose counts are sent out
-CLASSES, MEMBERS, HIDDEN = 32, 32, 16
+CLASSES, MEMBERS, HIDDEN = 32, 64, 16
 SHORT = CLASSES * MEMBERS
 CHUNK = 16
-RATES = (0.02, 0.01, 0.004)  # of each round
-TOKENS_A_TASK, MOST_TASKS = 1_000_000, 4096
+RATES = (0.02, 0.02, 0.01, 0.005)  # of each round
+TOKENS_A_TASK, MOST_TASKS = 4_000_000, 4096
+#: Lanes side by side: as many as leave UPDATES steps, within these bounds.
+LANES, UPDATES = (16, 512), 200
+#: States that are held before their probabilities are worked out.
+STATES = 65_536
 NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "wm", "bm")
 
 
@@ -122,80 +127,121 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def step(xw: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple:
-    """One step of the unit from input projections xw."""
+def step(xw: np.ndarray, h: np.ndarray, wh: np.ndarray) -> np.ndarray:
+    """The states (unit, document) after one step from input projections xw."""
     n = HIDDEN
-    u = h @ wh
-    zr = sigmoid(xw[:, : 2 * n] + u[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    c = np.tanh(xw[:, 2 * n :] + r * u[:, 2 * n :])
-    return c + z * (h - c), z, r, c, u[:, 2 * n :]
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    u = wh @ h
+    zr = sigmoid(xw[: 2 * n] + u[: 2 * n])
+    c = zr[n:] * u[2 * n :]
+    c += xw[2 * n :]
+    np.tanh(c, out=c)
+    return c + zr[:n] * (h - c)
 
 
 def log_probs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target after state h: its class, then the member."""
-    target = target.astype(np.int64)
-    cls, member = target // MEMBERS, target % MEMBERS
-    out = np.take_along_axis(log_softmax(h @ p["wc"] + p["bc"]), cls[:, None], 1)[:, 0].astype(np.float64)
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[ends[c] : ends[c + 1]]
-        if len(at):
-            out[at] += np.take_along_axis(log_softmax(h[at] @ p["wm"][c] + p["bm"][c]), member[at, None], 1)[:, 0]
+    """Natural log probability of each target after state h (unit, token): its class, then the member."""
+    cls, member = target.astype(np.int64) // MEMBERS, target.astype(np.int64) % MEMBERS
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    h, cls, member = h[:, order], cls[order], member[order]
+    every = np.arange(len(cls))
+
+    def log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        x -= x.max(0)
+        own = x[at, every[: len(at)]]
+        np.exp(x, out=x)
+        return own - np.log(x.sum(0))
+
+    found = log_of(p["wc"].T @ h + p["bc"][:, None], cls).astype(np.float64)
+    ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    for c, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if a < z:
+            found[a:z] += log_of(p["wm"][c].T @ h[:, a:z] + p["bm"][c][:, None], member[a:z])
+    out = np.empty(len(cls))
+    out[order] = found
     return out
 
 
-def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Gradients over one chunk (batch, time) from state h, the state after it, the summed loss."""
-    g = {k: np.zeros_like(p[k]) for k in NAMES}
-    emb = p["emb"][ids]
-    xw = emb @ p["wx"] + p["b"]
-    kept, states = [], []
-    for t in range(ids.shape[1]):
-        before = h
-        h, z, r, c, u = step(xw[:, t], h, p["wh"])
-        kept.append((before, z, r, c, u))
-        states.append(h)
-    hs = np.stack(states, 1).reshape(-1, HIDDEN)
-    y, m = target.ravel(), mask.ravel()
-    cls, member = y // MEMBERS, y % MEMBERS
-    lp = log_softmax(hs @ p["wc"] + p["bc"])
-    loss = float((lp[np.arange(len(y)), cls] * m).sum())
-    d = np.exp(lp)
-    d[np.arange(len(y)), cls] -= 1
-    d *= m[:, None]
-    g["wc"], g["bc"], dh = hs.T @ d, d.sum(0), d @ p["wc"].T
-    for c in np.unique(cls[m > 0]):
-        at = np.nonzero((cls == c) & (m > 0))[0]
-        lp = log_softmax(hs[at] @ p["wm"][c] + p["bm"][c])
-        loss += float(lp[np.arange(len(at)), member[at]].sum())
-        d = np.exp(lp)
-        d[np.arange(len(at)), member[at]] -= 1
-        g["wm"][c], g["bm"][c] = hs[at].T @ d, d.sum(0)
-        dh[at] += d @ p["wm"][c].T
-    dh = dh.reshape(*ids.shape, HIDDEN)
-    dxw, carry, n = np.zeros_like(xw), np.zeros_like(h), HIDDEN
-    for t in reversed(range(ids.shape[1])):
-        before, z, r, c, u = kept[t]
-        out = dh[:, t] + carry
-        dc = out * (1 - z) * (1 - c * c)
-        dz = out * (before - c) * z * (1 - z)
-        dr = dc * u * r * (1 - r)
-        dxw[:, t] = np.concatenate([dz, dr, dc], 1)
-        du = np.concatenate([dz, dr, dc * r], 1)
-        g["wh"] += before.T @ du
-        carry = out * z + du @ p["wh"].T
-    flat = dxw.reshape(-1, 3 * n)
-    g["b"] = flat.sum(0)
-    g["wx"] = emb.reshape(-1, HIDDEN).T @ flat
-    np.add.at(g["emb"], ids.ravel(), flat @ p["wx"].T)
-    return g, h, -loss
+def softmax(x: np.ndarray) -> np.ndarray:
+    """In place, over the first axis."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
+
+
+def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray, with_loss: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    """Gradients over one chunk (time, lane) from states h (unit, lane), the states after it, the summed loss if asked for.
+
+    Features come first and lanes last throughout, so that every step works on long rows.
+    """
+    n, kind = HIDDEN, p["wh"].dtype
+    steps, width = ids.shape
+    g = {k: np.zeros_like(p[k]) for k in ("wm", "bm")}
+    wh = np.ascontiguousarray(p["wh"].T)
+    xw = np.take(np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).T), ids, axis=1)
+    hs, zrs, cs, us = (np.empty((steps + more, k, width), kind) for more, k in ((1, n), (0, 2 * n), (0, n), (0, n)))
+    hs[0] = h
+    for t in range(steps):
+        u = wh @ hs[t]
+        zr, c = zrs[t], cs[t]
+        np.add(xw[: 2 * n, t], u[: 2 * n], out=zr)
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        us[t] = u[2 * n :]
+        np.multiply(zr[n:], us[t], out=c)
+        c += xw[2 * n :, t]
+        np.tanh(c, out=c)
+        hs[t + 1] = c + zr[:n] * (hs[t] - c)
+    # Tokens in order of their class, so that a class's are one slice.
+    y = target.ravel()
+    at = np.nonzero(mask.ravel() > 0)[0]
+    at = at[np.argsort((y[at] // MEMBERS).astype(np.int16), kind="stable")]
+    cls, member = y[at] // MEMBERS, y[at] % MEMBERS
+    own = hs[1:].transpose(1, 0, 2).reshape(n, -1)[:, at]
+    every = np.arange(len(at))
+    d = softmax(p["wc"].T @ own + p["bc"][:, None])
+    loss = float(np.log(d[cls, every]).sum()) if with_loss else 0.0
+    d[cls, every] -= 1
+    g["wc"], g["bc"], dh = own @ d.T, d.sum(1), p["wc"] @ d
+    ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    for c, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if a == z:
+            continue
+        d = softmax(p["wm"][c].T @ own[:, a:z] + p["bm"][c][:, None])
+        if with_loss:
+            loss += float(np.log(d[member[a:z], every[: z - a]]).sum())
+        d[member[a:z], every[: z - a]] -= 1
+        g["wm"][c], g["bm"][c] = own[:, a:z] @ d.T, d.sum(1)
+        dh[:, a:z] += p["wm"][c] @ d
+    dhs = np.zeros((n, steps * width), kind)
+    dhs[:, at] = dh
+    dhs = dhs.reshape(n, steps, width)
+    dxw, carry, dus = np.empty_like(xw), np.zeros((n, width), kind), np.empty((steps, 3 * n, width), kind)
+    for t in reversed(range(steps)):
+        z, r, c, du = zrs[t, :n], zrs[t, n:], cs[t], dus[t]
+        out = dhs[:, t] + carry
+        dc = out * (1 - z)
+        dc *= 1 - c * c
+        np.multiply(out * (hs[t] - c), z * (1 - z), out=du[:n])
+        np.multiply(dc * us[t], r * (1 - r), out=du[n : 2 * n])
+        np.multiply(dc, r, out=du[2 * n :])
+        dxw[: 2 * n, t] = du[: 2 * n]
+        dxw[2 * n :, t] = dc
+        carry = p["wh"] @ du
+        out *= z
+        carry += out
+    g["wh"] = np.matmul(hs[:-1], dus.transpose(0, 2, 1)).sum(0)
+    # Sum what falls on each input symbol, then go through its embedding once.
+    symbols = ids.ravel().astype(np.int16)
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols[order]
+    first = np.concatenate([[0], np.nonzero(symbols[1:] != symbols[:-1])[0] + 1])
+    table = np.zeros((3 * n, SHORT), kind)
+    table[:, symbols[first]] = np.add.reduceat(np.take(dxw.reshape(3 * n, -1), order, axis=1), first, axis=1)
+    g["b"], g["wx"], g["emb"] = table.sum(1), (table @ p["emb"]).T, table.T @ p["wx"].T
+    return g, hs[steps], -loss
 
 
 def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,30 +266,40 @@ def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray,
     return ids, target, first
 
 
-def train(p: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, batch: int = 128) -> dict[str, np.ndarray]:
+def train(p: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, batch: int | None = None) -> dict[str, np.ndarray]:
     """Adam over the chunks of whole documents (END, tokens, END), the state carried from each document's start to its end."""
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    ids, target, first = lanes_of(docs, batch)
-    h = np.zeros((len(ids), HIDDEN), np.float32)
-    for n in range(1, ids.shape[1] + 1):
-        rows = int((target[:, n - 1, 0] >= 0).sum())  # lanes that haven't ended
-        h = np.where(first[:rows, n - 1, None], np.float32(0), h[:rows])
-        y = target[:rows, n - 1].astype(np.int64)
+    batch = batch or int(np.clip(sum(map(len, docs)) // (CHUNK * UPDATES), *LANES))
+    ids, target, first = (np.ascontiguousarray(x.swapaxes(0, 1)) for x in lanes_of(docs, batch))
+    h = np.zeros((HIDDEN, ids.shape[1]), np.float32)
+    for n in range(1, len(ids) + 1):
+        rows = int((target[n - 1, :, 0] >= 0).sum())  # lanes that haven't ended
+        h = np.where(first[n - 1, :rows], np.float32(0), h[:, :rows])
+        y = np.ascontiguousarray(target[n - 1, :rows].T).astype(np.int64)
         mask = (y >= 0).astype(np.float32)
-        g, h, _ = gradients(p, np.maximum(ids[:rows, n - 1], 0).astype(np.int64), np.maximum(y, 0), mask, h)
+        g, h, _ = gradients(p, np.maximum(ids[n - 1, :rows].T, 0).astype(np.int64), y, mask, h)
+        size = np.float32(1 / max(1.0, mask.sum()))
+        fix = np.float32(rate / (1 - 0.9**n)), np.float32(1 / math.sqrt(1 - 0.995**n))
         for k in NAMES:
-            d = g[k] / max(1.0, mask.sum())
-            m[k] += 0.1 * (d - m[k])
-            v[k] += 0.005 * (d * d - v[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.995**n)) + 1e-6)
+            d = g[k] * size
+            m[k] += np.float32(0.1) * (d - m[k])
+            d *= d
+            d -= v[k]
+            d *= np.float32(0.005)
+            v[k] += d
+            np.sqrt(v[k], out=d)
+            d *= fix[1]
+            d += np.float32(1e-6)
+            np.divide(m[k], d, out=d)
+            d *= fix[0]
+            p[k] -= d
     return p
 
 
 def ids_of(text: bytes, short: dict[bytes, int]) -> bytes:
     """The whole document's short-list ids between two ENDs."""
-    get = short.get
-    return np.array([get(END, 0), *(get(w, 0) for w in tokens(text))], np.int16).tobytes()
+    return np.fromiter(map(short.get, [END, *tokens(text)], repeat(0)), np.int16).tobytes()
 
 
 def trained(rows: DataFrame, p: dict[str, np.ndarray], short: dict[bytes, int]) -> dict[str, np.ndarray]:
@@ -255,14 +311,15 @@ def trained(rows: DataFrame, p: dict[str, np.ndarray], short: dict[bytes, int])
             own = [ids_of(text, words.value) for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True) if not held_out(doc)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["ids"])
 
-    docs = cut(rows.mapInArrow(collect, "ids binary").withColumn("key", F.xxhash64("ids", F.monotonically_increasing_id())))
+    docs = cut(rows.mapInArrow(collect, "ids binary").withColumn("key", F.xxhash64(F.monotonically_increasing_id())))
     n = docs.agg(F.sum(F.length("ids") / 2)).first()[0]
     if not n:
         return p
     tasks = min(MOST_TASKS, -(-int(n) // TOKENS_A_TASK))
     shards = math.isqrt(tasks - 1) + 1
-    dealt = docs.select("ids", F.pmod("key", F.lit(tasks)).cast("int").alias("task")).repartition(tasks, "task")
-    for rate in RATES:
+    for turn, rate in enumerate(RATES):
+        own = docs.where(F.pmod(F.shiftrightunsigned("key", 32), F.lit(len(RATES))) == turn)
+        dealt = own.select("ids", F.pmod("key", F.lit(tasks)).cast("int").alias("task")).repartition(tasks, "task")
         sent = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
@@ -297,6 +354,8 @@ def trained(rows: DataFrame, p: dict[str, np.ndarray], short: dict[bytes, int])
 
         got = dealt.mapInArrow(run, "shard int, weight double, params binary").groupBy("shard").applyInPandas(average, "weight double, params binary").collect()
         total = sum(r["weight"] for r in got)
+        if not got:
+            continue
         p = unpack(sum(r["weight"] / total * np.frombuffer(r["params"], np.float32).astype(np.float64) for r in got), p)
     return p
 
@@ -309,30 +368,33 @@ class Scorer:
         self.logs = np.log10((np.array([c for _, c in head], np.float64) + 1) / total)
         self.short = np.array([short.get(w, 0) for w, _ in head], np.int16)
         self.start = short.get(END, 0)
-        self.p, self.xw = params, (params["emb"] @ params["wx"] + params["b"]).astype(np.float32)
+        self.p, self.xw = params, np.ascontiguousarray((params["emb"] @ params["wx"] + params["b"]).T, np.float32)
+        self.wh = np.ascontiguousarray(params["wh"].T)
 
     def neural(self, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each document's short-list ids; state carried over windows of CHUNK steps."""
+        """log10 probability of each document's short-list ids; the state carried through it."""
         order = np.argsort([-len(d) for d in docs], kind="stable")
         sizes = np.array([len(docs[i]) for i in order])
         flat = np.concatenate([docs[i] for i in order])
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         out = np.zeros(len(docs))
-        h = np.zeros((len(docs), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(docs)), np.float32)
         before = np.full(len(docs), self.start)
         active = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), side="left")  # documents longer than t
-        for lo in range(0, int(sizes[0]), CHUNK):
-            states, targets, who = [], [], []
-            for t in range(lo, min(lo + CHUNK, int(sizes[0]))):
-                n = int(active[t])
-                h = step(self.xw[before[:n]], h[:n], self.p["wh"])[0]
-                y = flat[first[:n] + t]
-                states.append(h)
-                targets.append(y)
-                who.append(np.arange(n))
-                before = y
-            lp = log_probs(self.p, np.concatenate(states), np.concatenate(targets))
-            out += np.bincount(np.concatenate(who), lp, len(docs))
+        states, targets, who, held = [], [], [], 0
+        every = np.arange(len(docs))
+        for t in range(int(sizes[0])):
+            n = int(active[t])
+            h = step(np.take(self.xw, before[:n], axis=1), np.ascontiguousarray(h[:, :n]), self.wh)
+            before = flat[first[:n] + t]
+            states.append(h)
+            targets.append(before)
+            who.append(every[:n])
+            held += n
+            if held >= STATES or t + 1 == sizes[0]:
+                lp = log_probs(self.p, np.concatenate(states, axis=1), np.concatenate(targets))
+                out += np.bincount(np.concatenate(who), lp, len(docs))
+                states, targets, who, held = [], [], [], 0
         result = np.zeros(len(docs))
         result[order] = out / math.log(10)
         return result
@@ -374,7 +436,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = {k: [] for k in kinds}
             for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 ws = tokens(text)
-                at = np.array([get(w, -1) for w in ws], np.int32)
+                at = np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws))
                 known = at[at >= 0]
                 ids = np.zeros(len(ws), np.int16)
                 ids[at >= 0] = scorer.short[known]

@@ -144,21 +144,21 @@ def test_lm_beats_the_unigram_on_held_out_documents(spark):
 def test_lm_gradients():
     rng = np.random.default_rng(0)
     p = {k: x.astype(float) for k, x in lm.start_params(np.arange(lm.SHORT, 0, -1.0)).items()}
-    ids, y, mask, h = rng.integers(0, lm.SHORT, (3, 5)), rng.integers(0, lm.SHORT, (3, 5)), np.ones((3, 5)), rng.standard_normal((3, lm.HIDDEN)) * 0.1
+    ids, y, mask, h = rng.integers(0, lm.SHORT, (3, 5)), rng.integers(0, lm.SHORT, (3, 5)), np.ones((3, 5)), rng.standard_normal((lm.HIDDEN, 5)) * 0.1
     g = lm.gradients(p, ids, y, mask, h)[0]
-    at = {"emb": (ids[0, 1], 3), "wx": (2, 5), "wh": (4, 40), "b": (7,), "wc": (3, 2), "bc": (5,), "wm": (y[0, 2] // 32, 3, y[0, 2] % 32), "bm": (y[0, 2] // 32, y[0, 2] % 32)}
+    at = {"emb": (ids[0, 1], 3), "wx": (2, 5), "wh": (4, 40), "b": (7,), "wc": (3, 2), "bc": (5,), "wm": (y[0, 2] // lm.MEMBERS, 3, y[0, 2] % lm.MEMBERS), "bm": (y[0, 2] // lm.MEMBERS, y[0, 2] % lm.MEMBERS)}
     for k, i in at.items():
         q = {**p, k: p[k].copy()}
         q[k][i] += 1e-5
-        up = lm.gradients(q, ids, y, mask, h)[2]
+        up = lm.gradients(q, ids, y, mask, h, True)[2]
         q[k][i] -= 2e-5
-        assert (up - lm.gradients(q, ids, y, mask, h)[2]) / 2e-5 == pytest.approx(g[k][i], abs=1e-5)
+        assert (up - lm.gradients(q, ids, y, mask, h, True)[2]) / 2e-5 == pytest.approx(g[k][i], abs=1e-5)
 
 
 def test_lm_probabilities_sum_to_one():
     p = lm.start_params(np.arange(lm.SHORT, 0, -1.0))
-    h = np.random.default_rng(1).standard_normal((1, lm.HIDDEN)).astype(np.float32)
-    assert np.exp(lm.log_probs(p, np.repeat(h, lm.SHORT, 0), np.arange(lm.SHORT))).sum() == pytest.approx(1, abs=1e-4)
+    h = np.random.default_rng(1).standard_normal((lm.HIDDEN, 1)).astype(np.float32)
+    assert np.exp(lm.log_probs(p, np.repeat(h, lm.SHORT, 1), np.arange(lm.SHORT))).sum() == pytest.approx(1, abs=1e-4)
 
 
 @pytest.mark.parametrize("broadcast_bytes", [10**9, 0])
@@ -229,6 +229,25 @@ def test_simhash_links(spark, hot):
     assert {x: got.get(x, x) for x in fps} == {x: first[k] for x, k in zip(fps, label, strict=True)}
 
 
+def agenda(m, symbols, key, rate):
+    """Plain reading of the rule: of the waiting pairs the best, leftmost; the t-th that comes up is skipped if its hash says so."""
+    ids, gone, t = list(symbols), [False] * len(symbols), 0  # gone: the pair at this place was skipped
+    while True:
+        waiting = [(int(m.rank[m.pairs[a * 65536 + b]]), i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if a * 65536 + b in m.pairs and not gone[i]]
+        if not waiting:
+            return ids
+        i = min(waiting)[1]
+        bad = bool(pieces.skipped(np.array([key], np.uint64), np.array([t]), rate)[0])
+        t += 1
+        if bad:
+            gone[i] = True
+        else:
+            ids[i : i + 2] = [m.pairs[ids[i] * 65536 + ids[i + 1]]]
+            gone[i : i + 2] = [False]
+            if i:
+                gone[i - 1] = False
+
+
 def test_pieces(docs, none):
     import sentencepiece
 
@@ -237,26 +256,51 @@ def test_pieces(docs, none):
     texts = [t for _, t in plain(docs)] + ["  two  spaces ", "\n\n", "a\tb", "x" * 200]
     for rate in (0.0, 0.4):
         e = pieces.Encoder(m, 5, rate)
-        ids, at = e.encode([t.encode() for t in texts], [0] * len(texts))
+        ids, at = e.encode([t.encode() for t in texts], list(range(len(texts))))
         for t, a, z in zip(texts, at, at[1:], strict=False):
             own = ids[a:z].tolist()
             assert pieces.decode(m, own) == t.encode()
             if rate == 0 and pieces.SPACE not in t:
                 assert own == sp.encode(t)
-    again = pieces.Encoder(m, 5, 0.4).encode([t.encode() for t in texts], [0] * len(texts))[0]
-    other = pieces.Encoder(m, 6, 0.4).encode([t.encode() for t in texts], [0] * len(texts))[0]
-    assert ids.tolist() == again.tolist() != other.tolist()
+    keys = lambda seed: [pieces.doc_key(i, 0, seed) for i in range(len(texts))]
+    runs = [pieces.Encoder(m, 0, 0.4).encode([t.encode() for t in texts], keys(seed))[0].tolist() for seed in (5, 5, 6)]
+    assert runs[0] == runs[1] != runs[2]
     got = pieces.encode_documents(docs)
     assert got.where("lossless").count() == docs.count() and pieces.encode_documents(none).count() == 0
 
 
-def test_pieces_short_units_follow_the_agenda():
+@pytest.mark.parametrize(("rate", "keep"), [(0.1, 10**6), (0.5, 10**6), (0.3, 40)])
+def test_pieces_by_brute_force(rate, keep):
+    """Every occurrence of every unit by the plain rule; the encoder remembers all runs, or forgets most."""
     m = pieces.Model()
-    e = pieces.Encoder(m, 1, 0.3)
-    units = list({u for t in TEXTS if t for u in pieces.units_of(t.encode()) if len(u) < 20})
-    e.learn(1, units)
-    for u in units:
-        assert pieces.segment_long(m, m.symbols(u), pieces.skip_key(1, 1, u), 0.3) == np.frombuffer(e.known[1][u], np.int32).tolist()
+    texts = [(t or "").encode()[:4000] for t in TEXTS] + [b"the same phrase again and again " * 60, b"international " * 50 + b"internationalizationalities " * 3] * 2
+    e = pieces.Encoder(m, 1, rate, keep)
+    for part in (texts[:6], texts[6:]):
+        docs = [pieces.doc_key(i, 3, 1) for i in range(len(part))]
+        ids, at = e.encode(part, docs)
+        for t, d, a, z in zip(part, docs, at, at[1:], strict=False):
+            units = pieces.units_of(t)
+            want = [x for u, k in zip(units, pieces.unit_keys(d, len(units)).tolist(), strict=True) for x in agenda(m, m.symbols(u), k, rate)]
+            assert ids[a:z].tolist() == want
+
+
+def test_pieces_vary_between_the_places_of_a_word(spark):
+    m = pieces.Model()
+    e = pieces.Encoder(m, 0, 0.1)
+    text = b"international organisation " * 2000
+    ids, at = e.encode([text, text], [pieces.doc_key(i, 0, 0) for i in (1, 2)])
+    one, two = ids[at[0] : at[1]].tolist(), ids[at[1] : at[2]].tolist()
+    assert one != two and pieces.decode(m, one) == pieces.decode(m, two) == text
+    cuts, word = Counter(), []
+    for i in one:
+        if m.piece[i].startswith(pieces.SPACE) and word:
+            cuts[tuple(word)] += 1
+            word = []
+        word.append(i)
+    assert len(cuts) > 8
+    df = spark.createDataFrame([(7, text.decode(), k) for k in range(2)], "doc_id long, text string, turn long")
+    own = lambda col: {tuple(r["pieces"]) for r in pieces.encode_documents(df, turn_col=col).collect()}
+    assert len(own(None)) == 1 and len(own("turn")) == 2
 
 
 def test_mixing(spark, docs, none):
@@ -414,3 +458,92 @@ def test_secrets_names_and_concatenations():
         assert lexed(text) == ["Zx9!kk", "QpLm27#v"], t
     assert secrets.name_score("private_key") == 3.0
     assert lexed('A = "Zx9!kkQpLm27"\n' + "A = A + A\n" * 60 + "auth = A") == [value]
+
+
+def plain_score(p, ids, start):
+    """log10 probability of one document, token by token, in plain loops."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    n, h, x, out = lm.HIDDEN, [0.0] * lm.HIDDEN, start, 0.0
+    for y in ids:
+        xw = [sum(float(p["emb"][x, i]) * float(p["wx"][i, j]) for i in range(n)) + float(p["b"][j]) for j in range(3 * n)]
+        u = [sum(h[i] * float(p["wh"][i, j]) for i in range(n)) for j in range(3 * n)]
+        z, r = [sig(xw[j] + u[j]) for j in range(n)], [sig(xw[n + j] + u[n + j]) for j in range(n)]
+        c = [math.tanh(xw[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+        h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(n)]
+        k, m = divmod(int(y), lm.MEMBERS)
+        for logits, own in (([sum(h[i] * float(p["wc"][i, j]) for i in range(n)) + float(p["bc"][j]) for j in range(lm.CLASSES)], k), ([sum(h[i] * float(p["wm"][k, i, j]) for i in range(n)) + float(p["bm"][k, j]) for j in range(lm.MEMBERS)], m)):
+            out += logits[own] - math.log(sum(map(math.exp, logits)))
+        x = y
+    return out / math.log(10)
+
+
+def test_lm_scores_step_by_step():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, lm.SHORT, n).astype(np.int16) for n in (1, 40, 7, 40, 3, 20)]
+    p = lm.start_params(np.arange(lm.SHORT, 0, -1.0))
+    p = lm.train(p, [np.concatenate([[1], d]).astype(np.int16) for d in docs], 0.02)
+    words = [(str(i).encode(), 5) for i in range(10)]
+    got = lm.Scorer(words, {lm.END: 1}, p, 100.0).neural(docs)
+    assert got == pytest.approx([plain_score(p, d, 1) for d in docs], rel=1e-4)
+
+
+def test_html_template_by_counts(spark):
+    """Against a plain count per host: furniture that only counting shows goes, on a host of enough pages; its article stays."""
+    rnd = random.Random(5)
+    notices = [f"notice {k} of this site" for k in range(6)]
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows, want = [], {}
+    for i in range(80):
+        own = [" ".join(word() for _ in range(12)) for _ in range(3)]
+        shared = ["a paragraph that many articles share in full"] * (i % 3 == 0)
+        body = "".join(f"<p>{x}</p>" for x in own + shared)
+        if i % 4 == 0:  # a large group of near copies whose body sits in a div
+            own, shared, body = ["copied story " * 30] * 1, [], "<div class=body><p>" + "copied story " * 30 + "</p></div>"
+        side = f"<nav><a href=/{i}>{notices[i % 6]}</a></nav><div class=box-{i}>Follow us at {notices[i % 5]}</div>"
+        rows.append((i, f"http://big.example/{i}", f"<body>{side}<article><h1>Title {i}</h1>{body}<div class=tail>{notices[i % 4]}</div></article><footer>end</footer>"))
+        want[i] = "\n\n".join([f"Title {i}", *(x.strip() for x in own + shared)])
+    rows.append((100, "http://small.example/", "<body><nav>menu</nav><article><p>first</p></article><article><p>second</p></article>"))
+    want[100] = "first\n\nsecond"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for limit in (10**6, -1):
+        assert {r["page_id"]: r["text"] for r in html.extract(df, broadcast_hashes=limit).collect()} == want
+    root = html.parse(rows[1][2])
+    html.hash_blocks(root)
+    assert html.main_text(root, {0}) != want[1]  # without the template the notices stay
+    # The template itself, counted in plain Python.
+    held: dict = {}
+    for _, url, page in rows:
+        nodes, key = html.hash_blocks(html.parse(page))
+        for x in nodes:
+            if x.size:
+                held.setdefault((html.host_of(url), x.slot), {}).setdefault(x.hash, set()).add(key)
+        held.setdefault((html.host_of(url), 0), {}).setdefault(0, set()).add(key)
+    expected = set()
+    for (host, slot), by in held.items():
+        pages = len(held[host, 0][0])
+        n = [len(x) for x in by.values()]
+        if slot == 0:
+            expected |= {(host, 0)} if pages >= html.COUNTED else set()
+            continue
+        expected |= {(host, h) for h, x in by.items() if len(x) >= max(html.MIN_PAGES, html.SHARE * pages)}
+        if pages < html.COUNTED:
+            continue
+        if (often := sum(x for x in n if x >= html.MIN_PAGES)) and often >= html.SLOT_SHARE * sum(n):
+            expected.add((host, slot))
+        if (twice := sum(x for x in n if x > 1)) and twice >= html.NAMED_SHARE * sum(n):
+            expected.add((host, slot ^ html.NAMED))
+    assert {(r["host"], r["hash"]) for r in html.templates(df, "url", "html").collect()} == expected
+
+
+def test_html_odd_input_costs_in_proportion():
+    import time
+
+    odd = ["<a " + 'b="x" ' * 170_000, "<a " * 350_000, "<div>" * 100_000 + "</b>" * 100_000, "<!-" * 300_000, "<!" * 500_000, "</script" * 100_000, "<script>" + "</script" * 100_000, "<p>" * 300_000, "<li><ul>" + "<h1>" * 50_000 + "<li></li>" * 50_000, "<" * 1_000_000, '<a b="' * 150_000]
+    for page in odd:
+        began = time.perf_counter()
+        root = html.parse(page)
+        html.hash_blocks(root)
+        html.main_text(root, None)
+        assert time.perf_counter() - began < 12, page[:20]
+    assert html.main_text(html.parse("<p>kept</p><p>cut <a href="), None) == "kept\n\ncut"
+    assert html.main_text(html.parse("1 < 2 <b>bold</b>"), None) == "1 < 2 bold"
