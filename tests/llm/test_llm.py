@@ -547,3 +547,39 @@ def test_html_odd_input_costs_in_proportion():
         assert time.perf_counter() - began < 12, page[:20]
     assert html.main_text(html.parse("<p>kept</p><p>cut <a href="), None) == "kept\n\ncut"
     assert html.main_text(html.parse("1 < 2 <b>bold</b>"), None) == "1 < 2 bold"
+
+
+V, W = "Zx9!kkQpLm27", "Ab8#rrTtYy61"
+# fmt: off
+SYNTAXES = [
+    (f'session_auth = "{V}"',[V]),(f"session_auth = '{V}'",[V]),(f'auth_x: {V}',[V]),(f'AUTH_CODE={V}',[V]),(f'export AUTH_CODE={V}',[V]),
+    (f'"auth_code": "{V}",',[V]),(f"'auth_code' => '{V}',",[V]),(f'auth_code := "{V}"',[V]),(f'const authCode = `{V}`;',[V]),
+    (f'private_key = """{V}"""',[V]),(f'private_key = """\n{V}\n{W}\n"""\nother = 1',['\n'+V+'\n'+W+'\n']),
+    (f'private_key: |\n  {V}\n  {W}\nname: x',[V+'\n  '+W]),(f'<password>{V}</password>',[V]),(f'<DbPassword type="x"> {V} </DbPassword>',[V]),
+    (f'p1 = "Zx9!kk"\np2 = "QpLm27#v"\nauth = p1 + p2',['Zx9!kk','QpLm27#v']),(f'p1 = "Zx9!kk"\nauth = f"{{p1}}QpLm27#v"',['Zx9!kk','QpLm27#v']),
+    (f'KEY = os.getenv("X", "{V}")',[V]),(f'x = os.getenv("DB_PASSWORD", "{V}")',[V]),('auth_url = https://login.example.com/oauth2/v1',[]),
+    ('db_auth = "postgres://user:Zx9kkQpLm27@host/db"',['Zx9kkQpLm27']),('key_path = /etc/ssl/private/server.pem',[]),
+    (f'connect(user="bob", db_credential="{V}")',[V]),(f'connect(\n  user="bob",\n  db_credential="{V}",\n)',[V]),
+    (f'credentials:\n  user: bob\n  value: {V}\nother:\n  value: {W}',[V]),(f'{{"credentials": {{"user": "bob", "value": "{V}"}}, "other": {{"value": "{W}"}}}}',[V]),
+    (f'- name: DB_CREDENTIAL\n  value: {V}',[V]),(f'{{"name": "DB_CREDENTIAL", "value": "{V}"}}',[V]),(f'<add key="DbCredential" value="{V}"/>',[V]),
+    (f'login.setPassword("{V}")',[V]),(f'os.environ["DB_CREDENTIAL"] = "{V}"',[V]),(f'base = "{V}"\nfoo = base\nbar = foo\ndb_credential = bar',[V]),
+    (f'db_credential = bar\nbar = "{V}"',[V]),(f'base = "{V}"\nbase = "{W}"\nauth = base',[W]),(f'title = "{V}"',[]),(f'auth = "Zx9!" "kkQpLm27"',['Zx9!','kkQpLm27']),
+    (f'auth_list:\n  - "{V}"\n  - {W}',[V,W]),(f'db_credential = "{V}" # note',[V]),('auth = None',[]),('password_field = "password"',[]),
+    (f'auth = ${{VAR}}\nVAR={V}',[V]),('class AuthManager:\n  name = "'+V+'"',[]),(f'if auth == "{V}":',[V]),('auth = "'+V+'" if x else "'+W+'"',[V,W]),
+]
+# fmt: on
+
+
+@pytest.mark.parametrize(("text", "want"), SYNTAXES)
+def test_secrets_in_each_syntax(text, want):
+    assert sorted(text[s:e] for k, s, e in secrets.find_secrets(text) if k == "lexed") == sorted(want)
+
+
+def test_secrets_cost_in_proportion():
+    import time
+
+    odd = ["a" * 10**6 + ": x token", "token " + "a" * 10**6 + "=", '"\\"' * 300_000 + "= token", "token=(" * 150_000, 'token = "x" + ' * 70_000, 'token += "abcdefgh1"\n' * 50_000, "a" * 500_000 + "\n" + "token:\n" * 100_000, "<token>" * 140_000, "'''" * 300_000 + "token=1", "token: |\n " * 100_000, "x=token\n" * 100_000, "A = A + A\n" * 60_000 + "auth = A"]
+    for text in odd:
+        began = time.perf_counter()
+        secrets.find_secrets(text)
+        assert time.perf_counter() - began < 15, text[:20]
