@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,20 +27,62 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests), one of our own."""
+    """The cluster's shared folder; a folder of our own where a local session (tests) names none."""
+    global _own
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or (sc.getCheckpointDir() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='termloom-')}"
-        sc.setCheckpointDir(found)
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        _own = found = _own or f"file://{tempfile.mkdtemp(prefix='termloom-')}"
     return found
 
 
+_own: str | None = None
+
+
+def on_disk(spark: SparkSession, path: str) -> tuple:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """The path, its files to be deleted when the driver ends."""
+    fs, p = on_disk(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = on_disk(spark, path)
+    fs.delete(p, True)
+
+
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes meanwhile are deleted afterwards."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table written in the shared folder: lost executors don't undo them."""
+    """The same rows, read from a table written in the shared folder: lost executors don't undo them.
+
+    The table goes with drop_cut(), with scratch(), or when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = passing(spark, f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    for paths in _made[-1:]:
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -46,11 +90,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that cut() wrote and nothing reads any more."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_cut_path", None):
+        delete(df.sparkSession, path)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -15,7 +15,7 @@ frequent line doesn't gather in one task), and the hashes to drop come back by
 document.
 
 Null and empty texts are one empty line.  Rows of one doc_id count as one document;
-a null doc_id sorts after all others.  Ties can't arise, other columns pass through
+a null doc_id sorts after all others and counts as the document 2^63 - 1.  Ties can't arise, other columns pass through
 line_dedup() unread.  An empty table gives no rows.
 """
 
@@ -117,7 +117,7 @@ class Shard:
         if not len(self.first):
             return np.zeros(len(low), bool)
         at = self.hash.slots(low)
-        return (at >= 0) & (self.fingerprint[at] == high) & (self.first[at] != doc)
+        return (at >= 0) & (self.fingerprint[at] == high) & (self.count[at] > 1) & (self.first[at] != doc)
 
 
 def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,18 +130,19 @@ def docs_of(column: pa.Array) -> np.ndarray:
 
 
 def line_hashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """hash and doc of each distinct key of each row."""
+    """hash, doc and row (the text's hash) of each distinct key of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, docs = [], []
+            hashes, docs, rows = [], [], []
             for doc, text in zip(docs_of(b.column(0)).tolist(), as_bytes(b.column(1)), strict=True):
                 own = {h for x in text.split(b"\n") if (h := key_hash(x))}
                 hashes += own
                 docs += [doc] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(docs, pa.int64())], names=["hash", "doc"])
+                rows += [signed64(text)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(docs, pa.int64()), pa.array(rows, pa.int64())], names=["hash", "doc", "row"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "hash binary, doc long")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "hash binary, doc long, row long")
 
 
 def shard_of(n: int) -> F.Column:
@@ -176,7 +177,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         source = df
     else:
         sent = None
-        source = df.join(to_drop(df, index, shards, id_col, text_col), F.coalesce(df[id_col].cast("long"), F.lit(int(LAST_DOC))) == F.col("_drop_doc"), "left").drop("_drop_doc")
+        # By id and text: rows without an id, or of one id, have sets of their own.
+        same = (F.coalesce(df[id_col].cast("long"), F.lit(int(LAST_DOC))) == F.col("_drop_doc")) & (F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))) == F.col("_drop_row"))
+        source = df.join(to_drop(df, index, shards, id_col, text_col), same, "left").drop("_drop_doc", "_drop_row")
     open_shards: dict = {}
 
     def drops(hashes: list[bytes], docs: np.ndarray) -> np.ndarray:
@@ -228,15 +231,15 @@ def signed64(h: bytes) -> int:
 
 
 def to_drop(df: DataFrame, index: DataFrame, shards: int, id_col: str, text_col: str) -> DataFrame:
-    """_drop_doc and the hashes that it loses: hashes probe the shard that they are sent to."""
-    asked = line_hashes(df, id_col, text_col).select(shard_of(shards).alias("shard"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), "hash", "doc", F.lit(None).cast("binary").alias("blob"))
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(None).cast("binary").alias("hash"), F.lit(None).cast("long").alias("doc"), "blob")
+    """_drop_doc, _drop_row and the hashes that they lose: hashes probe the shard that they are sent to."""
+    asked = line_hashes(df, id_col, text_col).select(shard_of(shards).alias("shard"), F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int").alias("salt"), "hash", "doc", "row", F.lit(None).cast("binary").alias("blob"))
+    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(None).cast("binary").alias("hash"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("row"), "blob")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, at = None, None
         for b in batches:
-            rows = [(r["shard"], r["hash"], r["doc"], r["blob"]) for r in b.to_pylist()]
-            hit: list[tuple[bytes, int]] = []
+            rows = [(r["shard"], r["hash"], r["doc"], r["blob"], r["row"]) for r in b.to_pylist()]
+            hit: list[tuple[bytes, int, int]] = []
             k = 0
             while k < len(rows):
                 if rows[k][3] is not None:
@@ -250,13 +253,13 @@ def to_drop(df: DataFrame, index: DataFrame, shards: int, id_col: str, text_col:
                     own = rows[k:e]
                     low, high = halves([x[1] for x in own])
                     bad = shard.dropped(low, high, np.array([x[2] for x in own], np.int64))
-                    hit += [(x[1], x[2]) for x, y in zip(own, bad, strict=True) if y]
+                    hit += [(x[1], x[2], x[4]) for x, y in zip(own, bad, strict=True) if y]
                 k = e
             if hit:
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in hit], pa.int64()), pa.array([x[0] for x in hit], pa.binary())], names=["_drop_doc", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in hit], pa.int64()), pa.array([x[2] for x in hit], pa.int64()), pa.array([x[0] for x in hit], pa.binary())], names=["_drop_doc", "_drop_row", "hash"])
 
     sent = copies.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull())
-    return sent.mapInArrow(probe, "_drop_doc long, hash binary").groupBy("_drop_doc").agg(F.collect_set("hash").alias("_drop_hashes"))
+    return sent.mapInArrow(probe, "_drop_doc long, _drop_row long, hash binary").groupBy("_drop_doc", "_drop_row").agg(F.collect_set("hash").alias("_drop_hashes"))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
 Words are runs of characters other than space and tab to carriage return.  Each
-rule is a condition on the text that rejects it.  ``order_rules`` measures, on a
-bounded sample, the seconds that each rule takes and the share it rejects, and
-sorts the rules by rejection per cost; ``rejected`` nests them in that order in one
-CASE, so a row pays for later rules only if the earlier ones let it pass.  The
-order changes what is computed, never the verdict.
+rule is a condition on the text that rejects it.  ``order_rules`` takes a sample, bounded
+in rows and bytes, times each rule on it (the second of two runs, less the time of the
+words alone) and notes what each rejects.  The next rule of the cascade is always the one
+with the most rejections per second among the rows that the rules before it let pass.
+``rejected`` nests the rules in that order in one CASE, so a row pays for later rules
+only if the earlier ones let it pass.  The order changes what is computed, never the
+verdict.
 
 Null text counts as empty: no words, so the first base rule rejects it.  Rows stay
 rows: ties, repeated ids and extra columns change nothing.
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import SPACE
 
-#: Rows of the sample on which the order of the rules is estimated.
-SAMPLE_ROWS = 500
+#: Rows and characters of the sample on which the order of the rules is estimated.
+SAMPLE_ROWS, SAMPLE_BYTES = 500, 8_000_000
 #: Low bits of a packed window key that hold its position.
 POSITION_BITS = 24
 POSITION = (1 << POSITION_BITS) - 1
@@ -88,38 +90,84 @@ def n_repeat_words(word: Column) -> Column:
     return let(alike, from_alike)
 
 
-#: name -> condition on (text, words) that rejects.  The first two are the base rules.
-RULES: dict[str, Callable[[Column, Column], Column]] = {
-    "few_words": lambda t, w: F.size(w) < 50,
-    "repeated_words": lambda t, w: 100 * n_repeat_words(w) > 50 * F.size(w),
-    "symbols": lambda t, w: 10 * n_symbols(t) > F.size(w),
-    "repeated_lines": lambda t, w: let(n_dup_lines(t), lambda d: (d >= 4) & (100 * d > 30 * F.size(F.split(F.coalesce(t, F.lit("")), "\n", -1)))),
-    "capitals": lambda t, w: 100 * F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"\p{Lu}{2,}")) > 30 * F.size(w),
-    "word_length": lambda t, w: ~word_chars(w).between(F.size(w) * 2, F.size(w) * 15),
+Measure = Callable[[Column, Column], Column]
+
+#: What the rules compare, by name: functions of (text, words).
+MEASURES: dict[str, Measure] = {
+    "n_words": lambda t, w: F.size(w).cast("long"),
+    "word_chars": lambda t, w: word_chars(w),
+    "n_symbols": lambda t, w: n_symbols(t),
+    "n_dup_lines": lambda t, w: n_dup_lines(t),
+    "n_repeat_words": lambda t, w: n_repeat_words(w),
+}
+#: name -> condition on (text, words, measures) that rejects; measures gives a Column for a name.  The first two are the base rules.
+RULES: dict[str, Callable[[Column, Column, Callable[[str], Column]], Column]] = {
+    "few_words": lambda t, w, m: m("n_words") < 50,
+    "repeated_words": lambda t, w, m: 100 * m("n_repeat_words") > 50 * m("n_words"),
+    "symbols": lambda t, w, m: 10 * m("n_symbols") > m("n_words"),
+    "repeated_lines": lambda t, w, m: let(m("n_dup_lines"), lambda d: (d >= 4) & (100 * d > 30 * F.size(F.split(F.coalesce(t, F.lit("")), "\n", -1)))),
+    "capitals": lambda t, w, m: 100 * F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"\p{Lu}{2,}")) > 30 * m("n_words"),
+    "word_length": lambda t, w, m: let(m("word_chars"), lambda c: ~c.between(m("n_words") * 2, m("n_words") * 15)),
 }
 BASE = ("few_words", "repeated_words")
 
 
-def order_rules(df: DataFrame, text_col: str = "text", names: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(name, seconds, share rejected) of each rule, best rejection per second first; only the order rests on the sample."""
+def fresh(t: Column, w: Column) -> Callable[[str], Column]:
+    """Measures worked out where they are asked for."""
+    return lambda name: MEASURES[name](t, w)
+
+
+def sample_of(df: DataFrame, text_col: str, rows: int) -> DataFrame:
+    """Some rows' texts as column t: at most so many, SAMPLE_BYTES in all unless the first alone is longer."""
     spark = df.sparkSession
-    texts = df.select(F.col(text_col).cast("string").alias("t"))._jdf
+    texts = df.select(F.col(text_col).cast("string").alias("t"))
     # Taken in the JVM, a few partitions at a time until there are enough: a limit inside a plan would start every partition.
-    sample = DataFrame(spark._jsparkSession.createDataFrame(texts.takeAsList(sample_rows), texts.schema()), spark)
-    n = max(1, sample.count())
-    found = []
-    for name in names or list(RULES):
+    total = n = 0
+    for r in texts.select(F.coalesce(F.octet_length("t"), F.lit(0)).alias("n"))._jdf.takeAsList(rows):
+        total += r.getInt(0)
+        if n and total > SAMPLE_BYTES:
+            break
+        n += 1
+    return DataFrame(spark._jsparkSession.createDataFrame(texts._jdf.takeAsList(n), texts._jdf.schema()), spark)
+
+
+def cascade(verdicts: list[tuple], seconds: dict[str, float]) -> list[tuple[str, float, float]]:
+    """(name, seconds, share rejected of the rows that reach it), most rejections per second first; verdicts in the order of seconds."""
+    left, names, out = list(verdicts), list(seconds), []
+    while len(out) < len(names):
+        open_ = [k for k, x in enumerate(names) if x not in {o[0] for o in out}]
+        share = {k: sum(bool(v[k]) for v in left) / max(1, len(left)) for k in open_}
+        k = max(open_, key=lambda k: (share[k] / max(seconds[names[k]], 1e-6), -seconds[names[k]], -k))
+        out.append((names[k], seconds[names[k]], share[k]))
+        left = [v for v in left if not v[k]]
+    return out
+
+
+def order_rules(df: DataFrame, text_col: str = "text", names: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """(name, seconds, share rejected) of each rule in the order of the cascade; only the order rests on the sample."""
+    sample = sample_of(df, text_col, sample_rows)
+    names = names or list(RULES)
+    t = F.col("t")
+
+    def took(condition: Callable[[Column], Column]) -> float:
+        plan = sample.agg(F.count_if(let(words(t), condition)))
+        plan.first()
         began = time.perf_counter()
-        bad = sample.agg(F.count_if(let(words(F.col("t")), lambda w: RULES[name](F.col("t"), w))).alias("x")).first()["x"]
-        found.append((name, time.perf_counter() - began, bad / n))
-    return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-6))
+        plan.first()
+        return time.perf_counter() - began
+
+    alone = took(lambda w: F.size(w) < 0)
+    rule = lambda name: lambda w: RULES[name](t, w, fresh(t, w))
+    seconds = {name: max(took(rule(name)) - alone, 1e-4) for name in names}
+    verdict = let(words(t), lambda w: F.struct(*(F.coalesce(rule(name)(w), F.lit(False)).alias(name) for name in names)))
+    return cascade([tuple(r) for r in sample.select(verdict.alias("v")).select("v.*").collect()], seconds)
 
 
-def rejected(text: Column, word: Column, names: list[str]) -> Column:
+def rejected(text: Column, word: Column, names: list[str], measures: Callable[[str], Column] | None = None) -> Column:
     """True where a rule of names rejects; the rules are tried in that order, up to the first that does."""
     out = F.lit(False)
     for name in reversed(names):
-        out = F.when(F.coalesce(RULES[name](text, word), F.lit(False)), F.lit(True)).otherwise(out)
+        out = F.when(F.coalesce(RULES[name](text, word, measures or fresh(text, word)), F.lit(False)), F.lit(True)).otherwise(out)
     return out
 
 
@@ -131,13 +179,13 @@ def quality_filter(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def quality_metrics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the base measures, base_failed and kept for each row."""
+    """id, the base measures, base_failed and kept for each row; the rules read the measures that are given anyway."""
     rest = [x[0] for x in order_rules(df, text_col, [x for x in RULES if x not in BASE])]
     t = F.col(text_col).cast("string")
 
-    def measures(w: Column) -> Column:
-        return let(n_repeat_words(w), lambda r: let((F.size(w) < 50) | (100 * r > 50 * F.size(w)), lambda failed: F.struct(
-            F.size(w).cast("long").alias("n_words"), word_chars(w).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"), r.alias("n_repeat_words"),
-            failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(~rejected(t, w, rest)).alias("kept"))))
+    def verdicts(w: Column, m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return F.struct(*(m[name].alias(name) for name in MEASURES), failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(~rejected(t, w, rest, lambda name: m[name])).alias("kept"))
 
-    return df.select(F.col(id_col).alias("doc_id"), let(words(t), measures).alias("m")).select("doc_id", "m.*")
+    measured = let(words(t), lambda w: let(F.struct(*(of(t, w).alias(name) for name, of in MEASURES.items())), lambda m: verdicts(w, m)))
+    return df.select(F.col(id_col).alias("doc_id"), measured.alias("m")).select("doc_id", "m.*")

@@ -22,6 +22,15 @@ Null and empty texts, or texts without words, have fingerprint zero, which links
 any other.  Fewer words than a shingle count as one shingle.  Rows with a null doc_id
 get a null component unless a text with an id reaches them.  Repeated rows stay rows,
 other columns are not read.  An empty table gives no rows.
+
+near_copies() is the same operator for a similarity of the shingle sets themselves, by
+default five words and 0.8.  Fingerprints of such pairs differ in up to a third of their
+bits, where segments of 64 bits no longer tell pairs apart: so families are formed first,
+by bands of minima of the sets (a pair at 0.8 is missed with probability 2e-5, less
+above).  Inside a family, cut into blocks so that no task takes it whole, pairs meet the
+pigeonring chains of WIDE_RADIUS over eight segments, then the full Hamming check, and
+what is left is held against the whole sets, so no link is false.  Pairs are never rows:
+a task gives a spanning forest of two blocks.
 """
 
 from collections.abc import Iterator
@@ -43,23 +52,31 @@ HOT_BUCKET = 50_000
 STRIP = 1 << 15
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The hashes of the text's shingles, repeats included."""
     words = text.lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, "<u8")
+    joined, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([h(joined, SEED)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[: -size]])
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+    starts = np.concatenate([[0], ends[:-size]])
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; none for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), STRIP):
         ones += np.unpackbits(hashes[at : at + STRIP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint's bits as a long, of each row."""
 
@@ -246,5 +263,153 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+#: near_copies(): words of a shingle, least similarity as a fraction, bands and minima of a band.
+WIDE_SHINGLE, LEAST, BANDS, ROWS = 5, (4, 5), 60, 8
+#: Differing bits at most: pairs at LEAST differ in 9.7 bits, 2.9 being their deviation.
+WIDE_RADIUS, WIDE_SEGMENTS = 24, 8
+#: Shingles and classes of a block, about; hashes of a text and of a pair of blocks worked on at once.
+BLOCK_SHINGLES, BLOCK_CLASSES, PART, VOCABULARY = 20_000, 64, 512, 4096
+_rng = np.random.default_rng(7)
+FACTORS = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+TERMS = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of hashes, the band's number hashed in; none for the empty set."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    x = (own >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), PART):
+        np.minimum(low, (x[at : at + PART] * FACTORS + TERMS).min(1), out=low)
+    low = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(low[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def signatures(rows: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """key, cls (equal for equal sets), n (the set's size) and the bands' keys of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x, WIDE_SHINGLE)) for x in as_bytes(b.column(1))]
+            cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["key", "cls", "n", "bands"])
+
+    return small_batches(rows).select(F.col(key_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "key long, cls long, n long, bands array<long>")
+
+
+def sets_of(rows: DataFrame, key_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """cls, fp and own, the bytes of its set, for the classes of wanted (cls, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_hashes(x, WIDE_SHINGLE) for x in as_bytes(b.column(1))]
+            fps = np.array([majority(x) for x in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([np.unique(x).tobytes() for x in hashes], pa.binary())], names=["cls", "fp", "own"])
+
+    texts = rows.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(wanted, "key").select("cls", "text").mapInArrow(run, "cls long, fp long, own binary")
+
+
+def chained(a: np.ndarray, b: np.ndarray, radius: int = WIDE_RADIUS, segments: int = WIDE_SEGMENTS) -> np.ndarray:
+    """Which pairs of fingerprints pass: from some segment on, the first l segments differ in at most l * radius / segments bits, for every l; and all in at most radius."""
+    differ = np.bitwise_count((a[:, None] ^ b[None, :])[..., None].view(np.uint8)).reshape(len(a), len(b), segments, -1).sum(-1, dtype=np.int16)
+    ring = np.cumsum(np.concatenate([differ, differ], -1), -1, dtype=np.int16)
+    budget = np.arange(1, segments + 1) * radius
+    out = np.zeros(differ.shape[:2], bool)
+    for k in range(segments):
+        before = ring[..., k - 1 : k] if k else np.int16(0)
+        out |= (segments * (ring[..., k : k + segments] - before) <= budget).all(-1)
+    return out & (ring[..., segments - 1] <= radius)
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of left has in common with each of right."""
+    words = np.unique(np.concatenate([*left, *right]))
+    out = np.zeros((len(left), len(right)), np.float64)
+    sides = [(np.concatenate([np.searchsorted(words, x) for x in side]), np.repeat(np.arange(len(side)), [len(x) for x in side])) for side in (left, right)]
+    for at in range(0, len(words), VOCABULARY):
+        m = []
+        for (word, who), side in zip(sides, (left, right), strict=True):
+            own = (word >= at) & (word < at + VOCABULARY)
+            x = np.zeros((len(side), min(VOCABULARY, len(words) - at)), np.float32)
+            x[who[own], word[own] - at] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
+def block_links(rows: DataFrame) -> DataFrame:
+    """(a, b) classes of a spanning forest of the similar ones in each pair of blocks (family, i, j); rows have side, the block that the class is in."""
+
+    def links(cls: list[int], fps: list[int], sets: list[bytes], side: list[int]) -> pa.RecordBatch | None:
+        own = [np.frombuffer(x, np.uint64) for x in sets]
+        fp = np.array(fps, np.int64).view(np.uint64)
+        at = np.array(side)
+        left = np.nonzero(at == at.min())[0]
+        right = np.nonzero(at == at.max())[0]
+        n = np.array([len(x) for x in own])
+        low, high = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+        maybe = chained(fp[left], fp[right]) & (LEAST[1] * low >= LEAST[0] * high)
+        rows, cols = np.nonzero(maybe.any(1))[0], np.nonzero(maybe.any(0))[0]
+        if not len(rows):
+            return None
+        both = shared([own[k] for k in left[rows]], [own[k] for k in right[cols]])
+        near = LEAST[1] * both >= LEAST[0] * (n[left[rows]][:, None] + n[right[cols]] - both)
+        i, j = np.nonzero(near & maybe[np.ix_(rows, cols)])
+        root = roots(len(cls), left[rows[i]], right[cols[j]])
+        child = np.nonzero(root != np.arange(len(cls)))[0]
+        if not len(child):
+            return None
+        cls = np.array(cls, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(cls[child]), pa.array(cls[root[child]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, ([], [], [], [])
+        for b in batches:
+            for *group, side, cls, fp, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != last and last is not None:
+                    if out := links(held[0], held[1], held[2], held[3]):
+                        yield out
+                    held = ([], [], [], [])
+                last = group
+                for x, y in zip(held, (cls, fp, own, side), strict=True):
+                    x.append(y)
+        if held[0] and (out := links(*held)):
+            yield out
+
+    return rows.select("family", "i", "j", "side", "cls", "fp", "own").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def near_copies(rows: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key_col (a long, distinct) and first, the key of the row of smallest id in its component, of each row.
+
+    Null ids come last; equal ids go by the text's class, then the key.  Texts with equal
+    sets are one class, of which one row stands for all; texts without words are one class.
+    """
+    signs = cut(signatures(rows, key_col, text_col))
+    classes = signs.groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    dealt = classes.select("cls", F.explode("bands").alias("band"))
+    first = dealt.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("size")).where("size > 1").select("band", "a")
+    edges = cut(dealt.join(first, "band").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
+    family = cut(components(edges).select(F.col("fp").alias("cls"), F.col("root").alias("family")))
+    drop_cut(edges)
+    members = cut(signs.join(family, "cls").groupBy("family", "cls").agg(F.min("key").alias("key"), F.first("n").alias("n")))
+    parts = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("parts"))
+    dealt = members.join(parts, "family").select("cls", "key", "family", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("side"))
+    sets = cut(sets_of(rows, key_col, text_col, dealt.select("cls", "key")))
+    pairs = dealt.join(sets, "cls").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "side", "cls", "fp", "own")
+    near = cut(block_links(pairs))
+    drop_cut(sets)
+    label = cut(components(near))
+    grouped = signs.select("key", "cls").join(label.withColumnRenamed("fp", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    ids = rows.select(F.col(key_col).cast("long").alias("key"), F.col(id_col).alias("id"))
+    own = cut(grouped.join(ids, "key"))
+    for done in (signs, family, members, near, label):
+        drop_cut(done)
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "cls", "key")).alias("x")).select("root", F.col("x.key").alias("first"))
+    return own.join(first, "root").select(F.col("key").alias(key_col), "first")
+
+
 def digest(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

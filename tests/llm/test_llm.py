@@ -69,6 +69,21 @@ def test_quality(docs, none):
     assert quality.quality_metrics(none).count() == 0 and quality.quality_filter(none).count() == 0
 
 
+def test_quality_order_by_rejection_per_cost_of_what_is_left():
+    seconds = {"a": 1.0, "b": 1.0, "c": 0.1}
+    verdicts = [(True, True, False)] * 6 + [(False, True, False)] * 3 + [(False, False, True)] * 1
+    assert [x[0] for x in quality.cascade(verdicts, seconds)] == ["c", "b", "a"]
+    verdicts = [(True, True, False)] * 6 + [(False, True, False)] * 3 + [(True, False, False)] * 2
+    assert [(x[0], x[2]) for x in quality.cascade(verdicts, seconds)] == [("b", 9 / 11), ("a", 1.0), ("c", 0.0)]
+
+
+def test_quality_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 5000)
+    df = spark.createDataFrame([(i, "word " * 400) for i in range(100)], "doc_id long, text string").coalesce(1)
+    assert quality.sample_of(df, "text", 500).count() == 2
+    assert quality.sample_of(df.limit(0), "text", 500).count() == 0
+
+
 def test_quality_order_never_changes_the_verdict(docs):
     keep = lambda names: sorted(r["doc_id"] or -1 for r in docs.where(~quality.let(quality.words(F.col("text")), lambda w: quality.rejected(F.col("text"), w, names))).collect())
     names = list(quality.RULES)
@@ -395,8 +410,9 @@ def test_pipeline(spark, tmp_path):
         if k == 1:
             assert ids == good and docs.where("text like '%shared line%'").count() == 1
         if k == 2:
-            comp = simhash.near_duplicates(before).where("doc_id is null or doc_id = component_id")
-            assert ids == {r["doc_id"] for r in comp.collect()}
+            held = {r["doc_id"]: r["text"] for r in before.orderBy(F.col("doc_id").asc_nulls_last()).collect()}
+            label = jaccard_components(list(held.values()))
+            assert ids == {i for k, i in enumerate(held) if label.index(label[k]) == k}
         if k == 3:
             assert ids == {r["doc_id"] for r in before.collect()}
     last = cp.run(spark, str(tmp_path))
@@ -445,6 +461,41 @@ def test_pipeline_near_copies_by_brute_force(spark, tmp_path):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
 
 
+def test_near_copies_in_a_large_group(spark):
+    """A family of graded copies that takes many pairs of blocks, and very long and empty texts."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for k in range(300):
+        own = list(base)
+        for at in rnd.sample(range(150), 1 + k % 9):
+            own[at] = f"x{rnd.randrange(50)}"
+        texts.append(" ".join(own))
+    long = [f"l{rnd.randrange(10**6)}" for _ in range(60_000)]
+    texts += [" ".join(long), " ".join([*long[:30_000], "other", *long[30_000:]]), "", "  ", "two words", "TWO words", None]
+    df = spark.createDataFrame([(k, k if k % 50 else None, t) for k, t in enumerate(texts)], "key long, doc_id long, text string").repartition(4)
+    got = {r["key"]: r["first"] for r in simhash.near_copies(df, "key").collect()}
+    label = jaccard_components([t or "" for t in texts])
+    want: dict = {}
+    for k, g in enumerate(label):
+        want.setdefault(g, []).append(k)
+    assert {frozenset(v) for v in want.values()} == {frozenset(k for k in got if got[k] == f) for f in set(got.values())}
+    assert all(got[k] in want[label[k]] for k in got)
+    assert simhash.near_copies(df.limit(0), "key").count() == 0
+
+
+def test_chains_pass_all_pairs_within_the_radius():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    b = a.copy()
+    for k in range(40):
+        for bit in rng.choice(64, k, replace=False):
+            b[k] ^= np.uint64(1) << np.uint64(bit)
+    got = simhash.chained(a, b)
+    want = np.array([[int(x ^ y).bit_count() <= simhash.WIDE_RADIUS for y in b] for x in a])
+    assert (got == want).all()
+
+
 def test_lm_learns_from_whole_documents(spark):
     rows = [(i, " ".join(["a b c d"] * 12 + ["le chat la maison"] * 60)) for i in range(400)]  # the first 32 words don't show the rest
     r = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
