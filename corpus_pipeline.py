@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import jaccard, linededup, mixing, pieces, quality
-from termloom.llm.common import cut, shared_dir
+from termloom.llm import linededup, mixing, pieces, quality, simhash
+from termloom.llm.common import cut, delete, passing, scratch, shared_dir
 
 #: Name of the row key that a stage sets for itself.
 ROW = "pipeline_row"
@@ -31,11 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of texts with a five-word Jaccard similarity of 0.8 or more; rows without an id stay."""
+    """The document of smallest id of each component of texts with a five-word Jaccard similarity of 0.8 or more; of equal ids, or none, one row."""
     rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
     # The rows that go, not those that stay: most documents are never looked up.
-    gone = cut(jaccard.copies(rows, ROW).where(F.col(ROW) != F.col("first")).select(ROW))
-    return rows.join(gone, ROW, "left_anti").unionAll(rows.where("doc_id is null").join(gone, ROW, "left_semi")).select(*docs.columns)
+    gone = cut(simhash.near_copies(rows, ROW).where(F.col(ROW) != F.col("first")).select(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, each written to the shared folder and read again.
+
+    A stage's tables go when the next one is written, the last one's when the driver ends.
+    """
+    base = passing(spark, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if k:
+            delete(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
+    return STAGES[-1][1](spark, docs, sf_dir)
