@@ -27,6 +27,7 @@ Rows stay rows; an empty table gives no rows.
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ SPACE = "▁"
 WIDE = 20
 TABLE_BITS = 18
 #: Runs that are remembered; those of little use go when there are more.
-KEEP_RUNS = 600_000
+KEEP_RUNS = 350_000
 #: Bytes of text that are encoded together, one text at least.
 SLICE = 2_000_000
 
@@ -63,8 +64,10 @@ class Model:
         self.id = {p: i for i, p in enumerate(self.piece) if i not in special}
         # Piece of rank r has the r-th best score; ties in score go to the smaller id.
         order = sorted(self.id.values(), key=lambda i: (-sp.get_score(i), i))
-        self.rank = np.full(n, np.iinfo(np.int32).max, np.int32)
-        self.rank[order] = np.arange(len(order), dtype=np.int32)
+        # Numbers of pieces and ranks are kept as narrow as they fit: the agendas of many units are worked on at once.
+        self.kind = np.int16 if n < np.iinfo(np.int16).max else np.int32
+        self.rank = np.full(n, np.iinfo(self.kind).max, self.kind)
+        self.rank[order] = np.arange(len(order), dtype=self.kind)
         pairs = {}
         for p, i in self.id.items():
             for k in range(1, len(p)):
@@ -75,7 +78,7 @@ class Model:
         self.raw: list[bytes] = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
         self._table()
         # Piece of each character of the basic plane, -1 where it takes byte pieces.
-        self.single = np.full(65536, -1, np.int32)
+        self.single = np.full(65536, -1, self.kind)
         for p, i in self.id.items():
             if len(p) == 1 and ord(p) < 65536:
                 self.single[ord(p)] = i
@@ -84,9 +87,9 @@ class Model:
     def _table(self) -> None:
         """Open addressing: the pair's key and merged piece, found in a few probes for all pairs at once."""
         size = 1 << TABLE_BITS
-        keys, values = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        keys, values = np.full(size, -1, np.int64), np.full(size, -1, self.kind)
         left = np.array(list(self.pairs), np.int64)
-        merged = np.array(list(self.pairs.values()), np.int32)
+        merged = np.array(list(self.pairs.values()), self.kind)
         self.probes = 0
         while len(left):
             at = self._slot(left, self.probes)
@@ -109,7 +112,7 @@ class Model:
         key = a.astype(np.int64) * 65536 + b
         at = self._slot(key, 0)
         found = self.keys[at]
-        out = np.where(found == key, self.values[at], np.int32(-1))
+        out = np.where(found == key, self.values[at], self.kind(-1))
         todo = np.nonzero((found != key) & (found != -1))
         for probe in range(1, self.probes):
             if not len(todo[0]):
@@ -142,9 +145,12 @@ def unit_keys(doc: int, n: int) -> np.ndarray:
     return mix(np.uint64(doc) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def skipped(key: np.ndarray, t: np.ndarray, rate: float) -> np.ndarray:
-    """Whether the t-th candidate of the unit with that key is left out."""
-    return mix(key + t.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) < np.uint64(min(int(rate * 2**64), 2**64 - 1))
+def skipped(key: np.ndarray, eight: int, rate: float) -> np.ndarray:
+    """For each unit's key, whether its candidates 8 * eight to 8 * eight + 7 are left out: 16 bits of a hash each."""
+    words = np.empty((len(key), 2), "<u8")
+    for k in (0, 1):
+        words[:, k] = mix(key + np.uint64((2 * eight + k) * 0xA24BAED4963EE407 % 2**64))
+    return words.view("<u2") < min(round(rate * 65536), 65535)
 
 
 def segment_long(model: Model, symbols: list[int], key: int, rate: float) -> list[int]:
@@ -160,18 +166,17 @@ def segment_long(model: Model, symbols: list[int], key: int, rate: float) -> lis
 
     for i in range(n - 1):
         offer(i)
-    t, bad = 0, np.zeros(0, bool)
-    one = np.full(4096, key, np.uint64)
+    t, bad, one = 0, [], np.array([key], np.uint64)
     while heap:
         _, i, a, b = heapq.heappop(heap)
         j = after[i]
         if ids[i] != a or j < 0 or ids[j] != b:
             continue
         if rate:
-            if t % 4096 == 0:
-                bad = skipped(one, np.arange(t, t + 4096), rate)
+            if t % 8 == 0:
+                bad = skipped(one, t // 8, rate)[0].tolist()
             t += 1
-            if bad[(t - 1) % 4096]:
+            if bad[(t - 1) % 8]:
                 continue
         ids[i], ids[j] = model.pairs[a * 65536 + b], -1
         after[i] = after[j]
@@ -188,63 +193,50 @@ def segment_short(model: Model, rows: np.ndarray, masks: np.ndarray) -> tuple[li
     Pieces and number of candidates of each.
     """
     n, width = rows.shape
-    none = np.iinfo(np.int32).max
+    none = model.kind(np.iinfo(model.kind).max)
     done: list[bytes] = [b""] * n
     count = np.zeros(n, np.int64)
     left = masks.astype(np.uint64)
-    ids = rows.copy()
+    ids = np.full((n, width + 1), -1, model.kind)  # a last column that is never a piece
+    ids[:, :-1] = rows
     cand = model.merge(ids[:, :-1], ids[:, 1:])
     rank = np.where(cand >= 0, model.rank[cand], none)
-    at = np.arange(n)
+    at, line, columns = np.arange(n), np.arange(n), np.arange(width, dtype=np.int8)
 
     def finish(rows: np.ndarray) -> None:
         own = ids[rows]
         sizes = (own >= 0).sum(1)
-        flat, ends = own[own >= 0].tobytes(), (4 * np.cumsum(sizes)).tolist()
+        flat, ends = own[own >= 0].astype(np.int32).tobytes(), (4 * np.cumsum(sizes)).tolist()
         for k, a, z in zip(at[rows].tolist(), [0, *ends[:-1]], ends, strict=True):
             done[k] = flat[a:z]
 
-    line = np.arange(n)
     while len(at):
-        best = rank.argmin(1) if width > 1 else np.zeros(len(at), np.int64)
-        over = rank[line, best] == none if width > 1 else np.ones(len(at), bool)
-        if over.any():
-            finish(np.nonzero(over)[0])
-            keep = ~over
-            at, ids, cand, rank, best, left = at[keep], ids[keep], cand[keep], rank[keep], best[keep], left[keep]
-            line = np.arange(len(at))
-            if not len(at):
-                break
-        skip = (left & np.uint64(1)).astype(bool)
+        best = rank.argmin(1)
+        open_ = rank[line, best] != none
+        if 4 * np.count_nonzero(open_) < 3 * len(at) or not open_.any():
+            finish(np.nonzero(~open_)[0])
+            at, ids, cand, rank, best, left = at[open_], ids[open_], cand[open_], rank[open_], best[open_], left[open_]
+            line, open_ = np.arange(len(at)), np.ones(len(at), bool)
+        count[at] += open_
+        skip = open_ & ((left & np.uint64(1)) > 0)
         left >>= np.uint64(1)
-        count[at] += 1
         rank[line[skip], best[skip]] = none
-        r = line[~skip]
-        if not len(r):
-            continue
-        b = best[~skip]
-        whole = len(r) == len(at)
-        x, c, k = (ids, cand, rank) if whole else (ids[r], cand[r], rank[r])
-        new = c[np.arange(len(r)), b]
-        beyond = np.arange(width)[None, :] > b[:, None]
-        x[:, :-1] = np.where(beyond[:, :-1], x[:, 1:], x[:, :-1])
-        x[:, -1] = -1
-        own = np.arange(len(r))
-        x[own, b] = new
-        if width > 2:
-            # Candidates right of the merged pair move one to the left, then the two at the new piece are new.
-            move = ~(np.arange(width - 2)[None, :] < b[:, None])
-            c[:, :-1] = np.where(move, c[:, 1:], c[:, :-1])
-            k[:, :-1] = np.where(move, k[:, 1:], k[:, :-1])
-        c[:, -1], k[:, -1] = -1, none
-        for side in (b - 1, b):
-            ok = (side >= 0) & (side < width - 1)
-            i, j = own[ok], side[ok]
-            m = model.merge(x[i, j], x[i, j + 1])
-            c[i, j] = m
-            k[i, j] = np.where(m >= 0, model.rank[m], none)
-        if not whole:
-            ids[r], cand[r], rank[r] = x, c, k
+        r = np.nonzero(open_ & ~skip)[0]
+        b = best[r]
+        new = cand[r, b]
+        # What is right of the merged pair moves one to the left; rows without a merge stay as they are.
+        place = np.full(len(at), width, np.int8)
+        place[r] = b
+        beyond = columns > place[:, None]
+        ids[:, :-1] = np.where(beyond, ids[:, 1:], ids[:, :-1])
+        ids[r, b] = new
+        for x in (cand, rank):
+            x[:, :-1] = np.where(beyond[:, :-1], x[:, 1:], x[:, :-1])
+        # Then the two candidates at the new piece.
+        i, j = np.concatenate([r[b > 0], r]), np.concatenate([b[b > 0] - 1, b])
+        m = model.merge(ids[i, j], ids[i, j + 1])
+        cand[i, j] = m
+        rank[i, j] = np.where(m >= 0, model.rank[m], none)
     return done, count
 
 
@@ -280,7 +272,7 @@ class Encoder:
         width = int(lengths[~other].max(initial=1))
         row = np.repeat(np.arange(len(units)), lengths)
         col = np.arange(len(points)) - np.repeat(first, lengths)
-        out = np.full((len(units), width), -1, np.int32)
+        out = np.full((len(units), width), -1, self.model.kind)
         fits = ~other[row]
         out[row[fits], col[fits]] = ids[fits]
         return out, other
@@ -290,7 +282,7 @@ class Encoder:
         base, n = len(self.units), len(units)
         pieces: list[bytes] = [b""] * n
         steps = np.full(n, -1, np.int64)
-        order = sorted(range(n), key=lambda k: len(units[k]))
+        order = np.argsort(np.fromiter(map(len, units), np.int64, n), kind="stable").tolist()
         for i in range(0, n, 8192):
             part = order[i : i + 8192]
             ids, other = self.matrix([units[k] for k in part])
@@ -300,7 +292,7 @@ class Encoder:
             for k in np.nonzero(other)[0].tolist():
                 symbols = self.model.symbols(units[part[k]])
                 if len(symbols) <= WIDE:
-                    sets.append((where[k : k + 1], np.array([symbols], np.int32)))
+                    sets.append((where[k : k + 1], np.array([symbols], self.model.kind)))
             for own, rows in sets:
                 found, steps[own] = segment_short(self.model, rows, masks[own])
                 for k, x in zip(own.tolist(), found, strict=True):
@@ -326,29 +318,34 @@ class Encoder:
 
     def runs_of(self, units: list[bytes], keys: np.ndarray) -> np.ndarray:
         """The number of the run of each occurrence."""
-        found = list(map(self.root.get, units))
-        if None in found:
-            new = list(dict.fromkeys(u for u, k in zip(units, found, strict=True) if k is None))
+        run = np.fromiter(map(self.root.get, units, repeat(-1)), np.int64, len(units))
+        holes = np.nonzero(run < 0)[0].tolist()
+        if holes:
+            new = list(dict.fromkeys([units[k] for k in holes]))
             base = self.add(new, np.zeros(len(new), np.uint64))
             self.root.update(zip(new, range(base, base + len(new)), strict=True))
-            found = list(map(self.root.get, units))
-        run = np.array(found, np.int64)
+            run[holes] = [self.root[units[k]] for k in holes]
         self.uses += np.bincount(run, minlength=len(self.uses))
         if not self.rate:
             return run
         open_, t = np.nonzero(self.steps[run] > 0)[0], np.zeros(len(run), np.int64)
         while len(open_):
             hits = []
-            at, key, own = open_, keys[open_], t[open_]
-            last = self.steps[run[open_]]
+            first, last = t[open_], self.steps[run[open_]]
+            at, eight = open_, 0
             while len(at):
-                bad = skipped(key, own, self.rate)
-                if bad.any():
-                    hits.append(at[bad])
-                    t[at[bad]] = own[bad]
-                own += 1
-                stay = ~bad & (own < last)
-                at, key, own, last = at[stay], key[stay], own[stay], last[stay]
+                place = np.arange(8 * eight, 8 * eight + 8, dtype=np.int8)
+                bad = skipped(keys[at], eight, self.rate)
+                bad &= place < last.astype(np.int8)[:, None]
+                if open_ is not at or first.any():
+                    bad &= place >= first.astype(np.int8)[:, None]
+                hit = bad.any(1)
+                if hit.any():
+                    hits.append(at[hit])
+                    t[at[hit]] = 8 * eight + bad[hit].argmax(1)
+                eight += 1
+                stay = ~hit & (last > 8 * eight)
+                at, first, last = at[stay], first[stay], last[stay]
             if not hits:
                 break
             open_ = np.concatenate(hits)
@@ -379,7 +376,10 @@ class Encoder:
         units = [u for x in split for u in x]
         keys = np.concatenate([unit_keys(d, n) for d, n in zip(docs, counts, strict=True)])
         run = self.runs_of(units, keys)
-        distinct, u = np.unique(run, return_inverse=True)
+        used = np.zeros(len(self.units), bool)
+        used[run] = True
+        distinct = np.nonzero(used)[0]
+        u = (np.cumsum(used) - 1)[run]
         blobs = [self.pieces[k] for k in distinct.tolist()]
         for i in np.nonzero(self.steps[run] < 0)[0].tolist():  # units on the heap
             u[i] = len(blobs)
@@ -403,6 +403,17 @@ def decode(model: Model, ids) -> bytes:
     return b"".join(map(model.raw.__getitem__, ids))[1:]
 
 
+def decode_all(model: Model, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """decode() of many texts' pieces in a row."""
+    sizes = np.array([len(x) for x in model.raw], np.int64)
+    flat, first = np.frombuffer(b"".join(model.raw), np.uint8), np.cumsum(sizes) - sizes
+    n = sizes[ids]
+    ends = np.cumsum(n)
+    raw = flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - first[ids], n)].tobytes()
+    at = np.concatenate([[0], ends])[offsets].tolist()
+    return [raw[a + 1 : z] for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
 def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most SLICE bytes of text (column 1), a longer text alone."""
     sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
@@ -416,7 +427,7 @@ def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(first)
 
 
-def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, seed: int = 0, rate: float = DROPOUT, with_text: bool = True, turn_col: str | None = None) -> DataFrame:
+def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, seed: int = 0, rate: float = DROPOUT, with_text: bool = True, turn_col: str | None = None, keep_runs: int = KEEP_RUNS) -> DataFrame:
     """doc_id, pieces (array of piece ids), lossless (they decode to the text) and, if asked for, decoded of each row."""
     spark = small_batches(df).sparkSession
     model = spark.sparkContext.broadcast(Model(model_path).__dict__)  # a fixed vocabulary
@@ -424,13 +435,13 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.__new__(Model)
         m.__dict__.update(model.value)
-        encoder = Encoder(m, seed, rate)
+        encoder = Encoder(m, seed, rate, keep_runs)
         for whole in batches:
             for b in slices(whole):
                 texts = as_bytes(b.column(1))
                 keys = [doc_key(i, k, seed) for i, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
                 ids, offsets = encoder.encode(texts, keys)
-                decoded = [decode(m, ids[a:z].tolist()) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+                decoded = decode_all(m, ids, offsets)
                 pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 out = {"doc_id": b.column(0), "pieces": pieces, "lossless": pa.array([x == y for x, y in zip(texts, decoded, strict=True)], pa.bool_())}
                 if with_text:

@@ -273,7 +273,7 @@ def agenda(m, symbols, key, rate):
         if not waiting:
             return ids
         i = min(waiting)[1]
-        bad = bool(pieces.skipped(np.array([key], np.uint64), np.array([t]), rate)[0])
+        bad = bool(pieces.skipped(np.array([key], np.uint64), t // 8, rate)[0, t % 8])
         t += 1
         if bad:
             gone[i] = True
@@ -293,6 +293,7 @@ def test_pieces(docs, none):
     for rate in (0.0, 0.4):
         e = pieces.Encoder(m, 5, rate)
         ids, at = e.encode([t.encode() for t in texts], list(range(len(texts))))
+        assert pieces.decode_all(m, ids, at) == [t.encode() for t in texts]
         for t, a, z in zip(texts, at, at[1:], strict=False):
             own = ids[a:z].tolist()
             assert pieces.decode(m, own) == t.encode()
