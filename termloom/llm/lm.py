@@ -45,9 +45,10 @@ CLASSES, MEMBERS, HIDDEN = 32, 64, 16
 SHORT = CLASSES * MEMBERS
 CHUNK = 16
 RATES = (0.02, 0.02, 0.01, 0.005)  # of each round
-TOKENS_A_TASK, MOST_TASKS = 4_000_000, 4096
+#: Tokens that a task takes: less where that leaves fewer than SOME_TASKS.
+TOKENS_A_TASK, LEAST_TOKENS, SOME_TASKS, MOST_TASKS = 8_000_000, 500_000, 8, 4096
 #: Lanes side by side: as many as leave UPDATES steps, within these bounds.
-LANES, UPDATES = (16, 512), 200
+LANES, UPDATES = (16, 1024), 150
 #: States that are held before their probabilities are worked out.
 STATES = 65_536
 NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "wm", "bm")
@@ -315,7 +316,7 @@ def trained(rows: DataFrame, p: dict[str, np.ndarray], short: dict[bytes, int])
     n = docs.agg(F.sum(F.length("ids") / 2)).first()[0]
     if not n:
         return p
-    tasks = min(MOST_TASKS, -(-int(n) // TOKENS_A_TASK))
+    tasks = min(MOST_TASKS, max(-(-int(n) // TOKENS_A_TASK), min(SOME_TASKS, -(-int(n) // LEAST_TOKENS))))
     shards = math.isqrt(tasks - 1) + 1
     for turn, rate in enumerate(RATES):
         own = docs.where(F.pmod(F.shiftrightunsigned("key", 32), F.lit(len(RATES))) == turn)
