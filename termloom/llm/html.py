@@ -337,7 +337,7 @@ def templates(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "slot", "hash", "key"])
 
     seen = df.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "host string, slot long, hash long, key long")
-    counts = seen.distinct().groupBy("host", "slot", "hash").agg(F.count("*").alias("pages"))
+    counts = cut(seen.distinct().groupBy("host", "slot", "hash").agg(F.count("*").alias("pages")))
     many = lambda least: F.sum(F.when(F.col("pages") >= least, F.col("pages")).otherwise(0))
     slots = counts.groupBy("host", "slot").agg(F.sum("pages").alias("n"), many(2).alias("twice"), many(MIN_PAGES).alias("often"))
     known = F.when(F.col("slot") == 0, F.array(F.when(F.col("n") >= COUNTED, F.lit(0).cast("long")))).otherwise(
