@@ -391,7 +391,9 @@ def near_copies(rows: DataFrame, key_col: str, id_col: str = "doc_id", text_col:
     classes = signs.groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     dealt = classes.select("cls", F.explode("bands").alias("band"))
     first = dealt.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("size")).where("size > 1").select("band", "a")
-    edges = cut(dealt.join(first, "band").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
+    # A class hangs on the least root of its buckets, and that root on the others: few distinct pairs for many bands.
+    hung = dealt.join(first, "band").groupBy("cls").agg(F.collect_set("a").alias("roots"))
+    edges = cut(hung.select(F.array_min("roots").alias("a"), F.explode(F.array_union("roots", F.array("cls"))).alias("b")).where("a <> b").distinct())
     family = cut(components(edges).select(F.col("fp").alias("cls"), F.col("root").alias("family")))
     drop_cut(edges)
     members = cut(signs.join(family, "cls").groupBy("family", "cls").agg(F.min("key").alias("key"), F.first("n").alias("n")))
