@@ -28,7 +28,7 @@ class Options:
     limit: int | None = None
     clean_stop_words: bool = True
     validate_boundaries: bool = True
-    max_run: int = 12
+    max_run: int | None = None
 
     def __post_init__(self):
         if self.limit is not None and self.limit < 1:
@@ -146,7 +146,7 @@ def parser() -> argparse.ArgumentParser:
     for name, what in (("patterns-file", "grammar patterns"), ("stop-words-file", "stop words, one a line"), ("emb-model-file", "word vectors, a table of w and v"), ("lexicon-file", "readings of word forms, a table"), ("senses-file", "wordnet senses, a table"), ("links-file", "wordnet links, a table")):
         p.add_argument(f"--{name}", help=what)
     p.add_argument("--limit", type=int, help="number of texts that frequencies refer to (all, by default)")
-    p.add_argument("--max-run", type=int, default=12, help="longest repetition inside a phrase")
+    p.add_argument("--max-run", type=int, help="longest repetition inside a phrase (any, by default)")
     for name in ("clean-stop-words", "validate-boundaries"):
         p.add_argument(f"--{name}", type=flag, default=True)
     return p

@@ -39,3 +39,22 @@ def one_word_terms(clusters: DataFrame) -> DataFrame:
     """Words of two or more clusters with the spread of the clusters' frequencies."""
     w = clusters.select(F.explode(F.array_distinct(F.split("key", " "))).alias("noun"), "frequency")
     return w.groupBy("noun").agg(F.count("*").alias("phrases"), *(F.round(f("frequency"), 8).alias(n) for f, n in ((F.avg, "mean_f"), (F.max, "max_f"), (F.min, "min_f")))).where("phrases > 1")
+
+
+def low_tfidf_phrases(clusters: DataFrame, lemmas: DataFrame, threshold: float) -> DataFrame:
+    """Phrases with a lemma of low tf-idf, marked # if they occur more than once or are relevant."""
+    low = lemmas.where(F.col("tfidf") < threshold).select("key").distinct()
+    mark = F.when((F.col("cnt") > 1) | (F.col("topic_relevance") > 0.4), F.lit("#")).otherwise(F.lit(""))
+    return clusters.join(low, "key", "left_semi").select(F.concat(mark, "key").alias("phrase"))
+
+
+def with_lemma(clusters: DataFrame, lemma: str) -> DataFrame:
+    """Clusters of which the lemma is a word."""
+    return clusters.where(F.array_contains(F.split("key", " "), lemma))
+
+
+def combined_topics(topics: DataFrame, most: int | None = None) -> DataFrame:
+    """key and the topics of its words (key, word, topic, sim), each once, by their best similarity."""
+    best = topics.groupBy("key", "topic").agg(F.max("sim").alias("sim"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("a"), "topic")))
+    return best.groupBy("key").agg(F.transform(F.slice(order, 1, most) if most else order, lambda x: x["topic"]).alias("topics"))

@@ -97,3 +97,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     one = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{i}"), 6).alias("r")) for i, (a, b) in enumerate(pairs)))
     return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def micro_prf(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """tp, fp, fn and the ratios over the (key, phrase) pairs of all keys of either side; 0 where a ratio has no base."""
+    g, f = (x.select("key", "phrase").distinct().withColumn(n, F.lit(1)) for x, n in ((gold, "g"), (found, "f")))
+    n = g.join(f, ["key", "phrase"], "full_outer").agg(F.count_if(F.col("g").isNotNull() & F.col("f").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn"))
+    ratio = lambda a, b: F.round(F.when(b == 0, F.lit(0.0)).otherwise(a / b), 8)
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return n.select("tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))

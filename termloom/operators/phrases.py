@@ -1,5 +1,6 @@
 """Phrase tables: rarity, grouping, similar keys, prefixes, containment, votes."""
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +75,9 @@ def usage_variants(base: DataFrame, phrases: DataFrame) -> DataFrame:
     next, so both sides are keyed by (last letter before, first letter after) a space;
     the substring test follows.
     """
-    b = base.select(F.col("phrase").alias("base"), F.concat(F.right(F.element_at(F.split("phrase", " "), 1), F.lit(2)), F.lit(" "), F.left(F.element_at(F.split("phrase", " "), 2), F.lit(2))).alias("k"))
+    b = base.select(F.col("phrase").alias("base"), F.concat(F.right(F.element_at(F.split("phrase", " "), 1), F.lit(1)), F.lit(" "), F.left(F.element_at(F.split("phrase", " "), 2), F.lit(1))).alias("k"))
     w = F.split("phrase", " ")
-    around = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.right(F.element_at(w, i), F.lit(2)), F.lit(" "), F.left(F.element_at(w, i + 1), F.lit(2))))
+    around = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.right(F.element_at(w, i), F.lit(1)), F.lit(" "), F.left(F.element_at(w, i + 1), F.lit(1))))
     v = phrases.where(F.size(w) > 2).select(F.col("phrase").alias("variant"), F.explode(F.array_distinct(around)).alias("k"))
     return v.join(b, "k").where(F.expr("contains(variant, base)")).select("base", "variant").distinct()
 
@@ -103,12 +104,13 @@ def by_stripped_noun(words: DataFrame) -> DataFrame:
 ENDINGS = (("ой", "ый", "ый"), ("а", "", ""), ("и", "", ""), ("ов", "", ""))
 
 
-def merge_endings(phrases: DataFrame, endings: tuple = ENDINGS, rounds: int = 3) -> DataFrame:
+def merge_endings(phrases: DataFrame, endings: tuple = ENDINGS, rounds: int = 20) -> DataFrame:
     """phrase, canonical: phrases that differ in the ending of one word alone take one form.
 
     Each phrase gives a key for every word and ending: the word's place, its root and the
     rest; phrases of different endings under one key are the same.  A round is one
-    aggregation; a form that changes can meet others in the next round.
+    aggregation; a form that changes can meet others in the next round.  It ends when none
+    does: forms only get shorter, or go from one ending to another, so the rounds are few.
     """
     def cases(end: str, rule: str, keep: str) -> Column:
         """Each word that ends so, by its place."""
@@ -124,8 +126,35 @@ def merge_endings(phrases: DataFrame, endings: tuple = ENDINGS, rounds: int = 3)
         keyed = keyed.select("canonical", "rule", "at", "end", F.array_join(rest, " ").alias("key"), F.array_join(form, " ").alias("form"))
         met = keyed.groupBy("rule", "at", "key").agg(F.min("end").alias("e1"), F.max("end").alias("e2")).where("e1 <> e2").select("rule", "at", "key")
         new = keyed.join(met, ["rule", "at", "key"]).groupBy("canonical").agg(F.min("form").alias("form"))
+        new = new.where("form <> canonical").persist(StorageLevel.MEMORY_AND_DISK)
+        if new.isEmpty():
+            return out
         out = out.join(new, "canonical", "left").select("phrase", F.coalesce("form", "canonical").alias("canonical"))
-    return out
+    raise RuntimeError(f"forms still change after {rounds} rounds")
+
+
+def canonical_rows(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """rows (phrase, n, score, tag) by canonical phrase: sum, largest and mean score, tags in order."""
+    j = rows.join(merged, "phrase")
+    return j.groupBy(F.col("canonical").alias("phrase")).agg(F.sum("n").alias("n"), F.max("score").alias("top"), F.round(F.avg("score"), 6).alias("mean"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+
+
+def without_repeats(spans: DataFrame, text: str = "text_form") -> DataFrame:
+    """Spans of a sentence without those whose text is that of the one before."""
+    w = Window.partitionBy("doc_id", "sent_no").orderBy("start", "end", "model")
+    return spans.withColumn("_before", F.lag(text).over(w)).where(~F.col(text).eqNullSafe(F.col("_before"))).drop("_before")
+
+
+def normalized(phrase: Column, tags: Column, allowed: tuple[str, ...]) -> Column:
+    """The lemmas of a phrase's tokens (w, lemma, pos), of the allowed parts of speech or of none, joined; empty if a preposition stands first or last."""
+    kept = F.filter(tags, lambda t: t["pos"].isNull() | t["pos"].isin(*allowed))
+    edge = lambda i: F.coalesce(F.try_element_at(kept, F.lit(i))["pos"] == "ADP", F.lit(False))
+    return F.when(phrase.isNull() | edge(1) | edge(-1), F.lit("")).otherwise(F.array_join(F.transform(kept, lambda t: t["lemma"]), " "))
+
+
+def head_noun(tags: Column) -> Column:
+    """The first noun of a phrase's tokens (w, lemma, pos): no parser is at hand, and it is the root of most terms."""
+    return F.try_element_at(F.filter(tags, lambda t: t["pos"] == "NOUN"), F.lit(1))["lemma"]
 
 
 def prefix_exclusion(clusters: DataFrame, first: tuple, second: tuple, third: str, low_centrality: float = 0.15, low_tfidf: float = 8.8e-6) -> DataFrame:

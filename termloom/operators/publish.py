@@ -30,4 +30,4 @@ def pages(edges: DataFrame) -> DataFrame:
 
 def vector_lines(vectors: DataFrame) -> DataFrame:
     """One line of text for each vector: the word and its components."""
-    return vectors.select(F.concat_ws(" ", "w", F.array_join(F.transform("v", lambda x: F.format_number(x, 6)), " ")).alias("value"))
+    return vectors.select(F.concat_ws(" ", "w", F.array_join(F.transform("v", lambda x: F.format_string("%.6f", x)), " ")).alias("value"))

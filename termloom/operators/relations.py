@@ -116,6 +116,86 @@ def rule_relations(pairs: DataFrame, markers: list[str], adjectives: list[str])
     return pairs.withColumn("relation", rel)
 
 
+def corrected(pairs: DataFrame, rules: dict[str, list]) -> DataFrame:
+    """relation of each (key, phrase, relation) by the first rule that fits, else as it was.
+
+    rules holds word lists: narrowing (markers that make a phrase narrower), linking (other
+    markers), adjectives, twins (pairs of interchangeable words), soft (adjectives that change
+    nothing), actions, classes (nouns that name a class) and places (positional adjectives).
+    Key and phrase are compared trimmed and in lower case; the lists are short and sent along.
+    """
+    k, p = F.trim(F.lower("key")), F.trim(F.lower("phrase"))
+    listed = lambda name: F.array(*map(F.lit, rules[name])) if rules.get(name) else F.array().cast("array<string>")
+    before = lambda a, b: F.when(F.endswith(a, F.concat(F.lit(" "), b)), F.left(a, F.length(a) - F.length(b) - 1))
+    fits = lambda name, x: F.coalesce(F.array_contains(listed(name), x), F.lit(False))
+    down, up = before(k, p), before(p, k)
+    wk, wp = F.array_distinct(F.split(k, r"\s+")), F.array_distinct(F.split(p, r"\s+"))
+    only_k, only_p = F.array_except(wk, wp), F.array_except(wp, wk)
+    more_k = F.when((F.size(only_k) == 1) & (F.size(only_p) == 0), F.get(only_k, F.lit(0)))
+    more_p = F.when((F.size(only_p) == 1) & (F.size(only_k) == 0), F.get(only_p, F.lit(0)))
+    twin = F.lit(False)
+    for a, b in rules.get("twins", []):
+        twin = twin | (p == F.replace(k, F.lit(a), F.lit(b))) | (p == F.replace(k, F.lit(b), F.lit(a)))
+    rule = F.when(fits("narrowing", down), "hypernym").when(fits("linking", down), "related").when(fits("narrowing", up), "hyponym").when(fits("linking", up), "related")
+    rule = rule.when(fits("adjectives", down), "hypernym").when(twin, "synonym").when(fits("soft", more_k) | fits("soft", more_p), "synonym")
+    rule = rule.when(fits("actions", down) | fits("actions", up), "related").when(fits("classes", down), "hypernym").when(fits("classes", up), "hyponym")
+    return pairs.withColumn("relation", rule.when(fits("places", more_k), "hypernym").when(fits("places", more_p), "hyponym").otherwise(F.col("relation")))
+
+
+def with_reverse(edges: DataFrame, relation: str = "antonym") -> DataFrame:
+    """Edges, and the turned edge of each edge of a symmetric relation; a pair that has any edge keeps its own."""
+    back = edges.where(F.col("relation") == relation).select(F.col("phrase").alias("key"), F.col("key").alias("phrase"), "relation")
+    return edges.unionByName(back.join(edges.select("key", "phrase"), ["key", "phrase"], "left_anti").distinct())
+
+
+def without_prefix(edges: DataFrame, prefix: str) -> DataFrame:
+    """Edges of which neither end starts with the prefix."""
+    return edges.where(~F.startswith("key", F.lit(prefix)) & ~F.startswith("phrase", F.lit(prefix)))
+
+
+def one_word_edges(terms: DataFrame) -> DataFrame:
+    """key, phrase, relation of terms (noun, and arrays hypernyms, hyponyms, synonyms, related_terms), sorted by key."""
+    kinds = {"hypernyms": "hypernym", "hyponyms": "hyponym", "synonyms": "synonym", "related_terms": "related"}
+    edge = lambda r: lambda x: F.struct(x.alias("phrase"), F.lit(r).alias("relation"))
+    one = F.flatten(F.array(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), edge(r)) for c, r in kinds.items())))
+    return terms.select(F.trim("noun").alias("key"), F.explode(one).alias("x")).select("key", "x.*").orderBy("key", "relation", "phrase")
+
+
+def overlap_totals(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the phrases that two models give in all, those both give, and the mean for each key."""
+    j = compare_models(a, b)
+    mean = lambda c: F.round(F.sum(c) / F.count_if(F.col(c) > 0), 6)
+    return j.agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("common").alias("common"), mean("n_a").alias("mean_a"), mean("n_b").alias("mean_b"))
+
+
+def pair_features(pairs: DataFrame, features: DataFrame, numeric: list[str], classes: list[str], buckets: int = 1000) -> DataFrame:
+    """Each pair with its phrase's features and its key's (suffix _main): numbers (0 for none), norms and cosine of the vectors v, classes by hash."""
+    side = lambda f, on, end: f.select(F.col("word").alias(on), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c + end) for c in numeric), *(F.pmod(F.xxhash64(c), F.lit(buckets)).alias(c + end) for c in classes), F.col("v").alias("v" + end))
+    j = pairs.join(side(features, "phrase", ""), "phrase", "left").join(side(features, "key", "_main"), "key", "left")
+    norm = lambda c: F.coalesce(F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x * x)), F.lit(0.0))
+    dot = F.coalesce(F.aggregate(F.zip_with("v", "v_main", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    cos = F.when((norm("v") == 0) | (norm("v_main") == 0), F.lit(0.0)).otherwise(dot / (norm("v") * norm("v_main")))
+    return j.fillna(0.0, [c + e for c in numeric for e in ("", "_main")]).withColumns({"norm": norm("v"), "norm_main": norm("v_main"), "cos": cos})
+
+
+def candidate_similarity(candidates: DataFrame, vectors: DataFrame, least: float = 0.5) -> DataFrame:
+    """head, word, context, sim of candidates (head, item), an item being "word" or "word (context)": the cosine to the word, or the mean of those to word and context; from least up to but without 1."""
+    part = lambda k: F.trim(F.regexp_extract("item", r"^([^(]*)(?:\(([^)]*)\))?", k))
+    c = candidates.select("head", part(1).alias("word"), F.nullif(part(2), F.lit("")).alias("context"))
+    unit = vectors.select("w", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))).alias("u"))
+    for name in ("head", "word", "context"):
+        c = c.join(unit.select(F.col("w").alias(name), F.col("u").alias(f"u_{name}")), name, "left")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    sim = F.when(F.col("context").isNull(), dot("u_head", "u_word")).otherwise((dot("u_head", "u_word") + dot("u_head", "u_context")) / 2)
+    return c.select("head", "word", "context", F.round(sim, 6).alias("sim")).where((F.col("sim") >= least) & (F.col("sim") < 1))
+
+
+def sane_hyponyms(candidates: DataFrame, near_topic: DataFrame, most: int = 150) -> DataFrame:
+    """Candidates (key, word) of keys with fewer than `most` of them, if the word is near some topic (word)."""
+    few = candidates.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") < most).select("key")
+    return candidates.join(few, "key", "left_semi").join(near_topic.select("word").distinct(), "word", "left_semi")
+
+
 def previous(turns: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """The row before within by."""
     return turns.withColumn("previous", F.lag(text).over(Window.partitionBy(by).orderBy(order)))
@@ -151,7 +231,7 @@ def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def best_by_phrase(candidates: DataFrame) -> DataFrame:
     """The record of highest similarity for each (key, phrase), the first source of equal ones."""
-    best = F.max_by(F.struct("sim", "source"), F.struct("sim", F.translate("source", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")))
+    best = F.min_by(F.struct("sim", "source"), F.struct(-F.col("sim"), "source"))
     return candidates.groupBy("key", "phrase").agg(best.alias("x")).select("key", "phrase", F.round("x.sim", 5).alias("sim"), "x.source")
 
 

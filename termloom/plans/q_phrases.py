@@ -37,9 +37,6 @@ name: "(A + N) + (A + N)" body: {
 }
 ''')
 
-#: Longest repetition inside a phrase; what repeats more often is no term.
-MAX_RUN = 12
-
 TAGGED = rf"""SELECT doc_id, sent_no::INTEGER AS sent_no, (pos - 1)::INTEGER AS pos, w, CASE WHEN w IN ('of', 'to', 'in', 'for', 'on', 'with', 'by', 'at', 'from') THEN 'ADP' WHEN w IN ('and', 'or') THEN 'CONJ'
   WHEN w IN ('the', 'a', 'is', 'it', 'this', 'that', 'are', 'was', 'be', 'as') THEN 'X' WHEN regexp_matches(w, '(ble|ly)$') THEN 'ADJ' WHEN regexp_matches(w, '(ing|ed|er)$') THEN 'VERB' ELSE 'NOUN' END AS p,
   CASE WHEN regexp_matches(w, '(tion|es|s)$') THEN 'Gen' ELSE 'Nom' END AS c
@@ -62,9 +59,9 @@ k AS MATERIALIZED (SELECT *, pos - 1 - coalesce(max(CASE WHEN NOT adj THEN pos E
   coalesce(min(CASE WHEN NOT gen THEN pos END) OVER f, max(pos) OVER f + 1, pos + 1) - 1 - pos AS g,
   lead(adp AND w = 'of') OVER s AND lead(noun, 2) OVER s AS ofn FROM r
   WINDOW f AS (PARTITION BY doc_id, sent_no ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), s AS (PARTITION BY doc_id, sent_no ORDER BY pos)),
-an AS MATERIALIZED (SELECT doc_id, sent_no, (pos - unnest(range(1, least(l, 12) + 1)))::INTEGER AS "start", pos AS "end" FROM k WHERE noun),
-s AS (SELECT *, 'A + N' AS model FROM an UNION ALL SELECT doc_id, sent_no, pos, (pos + unnest(range(1, least(g, 12) + 1)))::INTEGER, 'N + Gen' FROM k WHERE noun UNION ALL SELECT doc_id, sent_no, pos, pos + 2, 'N + of + N' FROM k WHERE noun AND ofn),
-x AS (SELECT a.doc_id, a.sent_no, a."start", (a."end" + unnest(range(1, least(k.g, 12) + 1)))::INTEGER AS "end", '(A + N) + Gen' AS model FROM an a JOIN k ON a.doc_id = k.doc_id AND a.sent_no = k.sent_no AND a."end" = k.pos
+an AS MATERIALIZED (SELECT doc_id, sent_no, (pos - unnest(range(1, l + 1)))::INTEGER AS "start", pos AS "end" FROM k WHERE noun),
+s AS (SELECT *, 'A + N' AS model FROM an UNION ALL SELECT doc_id, sent_no, pos, (pos + unnest(range(1, g + 1)))::INTEGER, 'N + Gen' FROM k WHERE noun UNION ALL SELECT doc_id, sent_no, pos, pos + 2, 'N + of + N' FROM k WHERE noun AND ofn),
+x AS (SELECT a.doc_id, a.sent_no, a."start", (a."end" + unnest(range(1, k.g + 1)))::INTEGER AS "end", '(A + N) + Gen' AS model FROM an a JOIN k ON a.doc_id = k.doc_id AND a.sent_no = k.sent_no AND a."end" = k.pos
   UNION SELECT a.doc_id, a.sent_no, a."start" - 2, a."end", 'N + P + (A + N)' FROM an a JOIN k u ON a.doc_id = u.doc_id AND a.sent_no = u.sent_no AND a."start" - 1 = u.pos AND u.adp JOIN k v ON a.doc_id = v.doc_id AND a.sent_no = v.sent_no AND a."start" - 2 = v.pos AND v.noun WHERE v.pos > 0
   UNION SELECT a.doc_id, a.sent_no, a."start", b."end", '(A + N) + (A + N)' FROM an a JOIN an b ON a.doc_id = b.doc_id AND a.sent_no = b.sent_no AND a."end" + 1 = b."start"),
 y AS (SELECT *, max("end") OVER z AS top FROM x WINDOW z AS (PARTITION BY doc_id, sent_no, "start")),
@@ -75,13 +72,13 @@ SPANS = SPANS.replace('v AS (SELECT doc_id, sent_no, "start", "end", any_value(m
 
 @register(f'{SPANS} SELECT doc_id, sent_no, "start", "end", model FROM s')
 def simple_phrases(spark, d):
-    return patterns.simple_spans(patterns.usable(tagged(spark, d)), PATTERNS, MAX_RUN)
+    return patterns.simple_spans(patterns.usable(tagged(spark, d)), PATTERNS)
 
 
 @register(f'{SPANS} SELECT doc_id, sent_no, "start", "end", model FROM v')
 def complex_phrases(spark, d):
     t = patterns.usable(tagged(spark, d))
-    return patterns.longest(patterns.complex_spans(t, patterns.simple_spans(t, PATTERNS, MAX_RUN), PATTERNS, MAX_RUN))
+    return patterns.longest(patterns.complex_spans(t, patterns.simple_spans(t, PATTERNS), PATTERNS))
 
 
 KEYS = f"""{SPANS}, e AS (SELECT *, unnest(range("start", "end" + 1))::INTEGER AS pos FROM o),
@@ -91,7 +88,7 @@ CLUSTERS = f"""{KEYS}, c AS MATERIALIZED (SELECT key, count(*) AS cnt, round(cou
 
 
 def occurrences(spark, d):
-    return patterns.collect_phrases(tagged(spark, d), PATTERNS, max_run=MAX_RUN)
+    return patterns.collect_phrases(tagged(spark, d), PATTERNS)
 
 
 @register(f"{CLUSTERS} SELECT key, cnt, frequency, model, docs FROM c")

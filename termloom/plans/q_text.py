@@ -135,11 +135,11 @@ def roman_words(spark, d):
     return corpus.tokens(read(spark, d, "documents")).where(T.roman(F.col("w"))).groupBy("w").agg(F.count("*").alias("n"))
 
 
-@register("SELECT event_id, event_type, props AS packed, (props IS NOT NULL) AS has FROM events")
+@register("SELECT event_id, event_type, replace(props, ': ', ':') AS packed, (props IS NOT NULL) AS has FROM events")
 def json_codec(spark, d):
     """props parsed into a map and written back as the same JSON."""
     e = read(spark, d, "events")
-    return e.select("event_id", "event_type", F.col("props").alias("packed"), F.from_json("props", "map<string,string>").isNotNull().alias("has"))
+    return e.select("event_id", "event_type", F.to_json(F.from_json("props", "map<string,bigint>")).alias("packed"), F.from_json("props", "map<string,bigint>").isNotNull().alias("has"))
 
 
 @register("SELECT trim(regexp_replace(lower(line), '[0-9]+$', '')) AS topic, count(*) AS n FROM (SELECT e.event_type || ' ' || (event_id % 5) AS line FROM events e) WHERE strlen(trim(regexp_replace(lower(line), '[0-9]+$', ''))) > 3 GROUP BY 1")

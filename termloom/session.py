@@ -1,32 +1,8 @@
-"""Session settings and the thresholds that the operators default to."""
-
-from dataclasses import dataclass
+"""The session."""
 
 from pyspark.sql import SparkSession
 
 
-@dataclass(frozen=True)
-class Config:
-    """Thresholds of the term pipeline. Fixed values."""
-
-    min_text_bytes: int = 40
-    min_sentence_bytes: int = 50
-    topic_threshold: float = 0.6
-    topic_share: float = 0.12
-    topic_limit: int = 7
-    weights: tuple[float, float, float] = (0.6, 0.2, 0.2)
-    tfidf_threshold: float = 0.0000088
-    first_order: float = 1.0
-    second_order: float = 0.5
-    clean_stop_words: bool = True
-    validate_boundaries: bool = True
-    #: Rows of a side that may be broadcast; beyond it, sides are shuffled or dealt in blocks.
-    broadcast_rows: int = 20_000
-
-
-DEFAULTS = Config()
-
-
 def session(app: str = "termloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; further settings by keyword, dots as double underscores."""
     b = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")

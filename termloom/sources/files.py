@@ -1,8 +1,10 @@
 """Files of the term pipeline as tables: article texts with titles and tags, JSON results, sinks."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fields of the files. Fixed values.
 OCCURRENCE = "0_key STRING, 1_textForm STRING, 2_modelName STRING, 3_docNum BIGINT, 4_sentNum BIGINT, 5_start_ind BIGINT, 6_end_ind BIGINT, 7_lemmas ARRAY<STRING>"
 
 
@@ -55,6 +57,7 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").rlike("[A-Za-z]")).select(t.alias("topic")).where(F.octet_length("topic") > 3).distinct()
 
 
+#: Fixed values.
 SENTENCES = "totalSentences INT, sentences ARRAY<STRUCT<docNum: BIGINT, sentNum: BIGINT, originalStr: STRING, normalizedStr: STRING>>"
 
 
@@ -64,6 +67,7 @@ def tokenized_sentences(spark: SparkSession, path: str, min_bytes: int = 50) ->
     return s.select(F.col("s.docNum").alias("doc_id"), F.col("s.sentNum").alias("sent_no"), F.col("s.originalStr").alias("sentence"), F.col("s.normalizedStr").alias("normalized")).where(F.octet_length("normalized") >= min_bytes)
 
 
+#: Fixed values.
 CORPUS = "0_totalDocuments INT, 1_totalTexts INT, 2_totalWords INT, 3_documentFrequency MAP<STRING, INT>, 4_wordFrequency MAP<STRING, INT>, 5_documents ARRAY<STRUCT<filename: STRING, texts: ARRAY<STRING>>>"
 
 
@@ -75,6 +79,7 @@ def corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFr
     return texts, wf.join(df, "w", "left"), c.select(F.col("0_totalDocuments").alias("total_docs"), F.col("1_totalTexts").alias("total_texts"), F.col("2_totalWords").alias("total_words"))
 
 
+#: Fixed values.
 CLUSTER = "MAP<STRING, STRUCT<`0_phrase_size`: INT, `1_frequency`: DOUBLE, `2_topic_relevance`: DOUBLE, `3_centrality_score`: DOUBLE, `4_tag_match`: BOOLEAN, `5_model_name`: STRING>>"
 
 
@@ -82,3 +87,67 @@ def clusters(spark: SparkSession, path: str) -> DataFrame:
     """key and measures of a file of clusters, an object with a member for each key."""
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", CLUSTER)).alias("key", "c"))
     return whole.select("key", *(F.col(f"c.{i}_{n}").alias(n) for i, n in enumerate(("phrase_size", "frequency", "topic_relevance", "centrality_score", "tag_match", "model_name"))))
+
+
+def vectors_text(spark: SparkSession, path: str) -> DataFrame:
+    """w and v of a text file of word vectors: a word and its components a line; a first line of two numbers is a header."""
+    parts = F.split(F.trim("value"), " ")
+    rows = spark.read.text(path).select(parts.alias("p")).where((F.size("p") > 2) | ((F.size("p") == 2) & ~F.get("p", F.lit(0)).rlike("^[0-9]+$")))
+    return rows.select(F.get("p", F.lit(0)).alias("w"), F.transform(F.slice("p", 2, 1_000_000), lambda x: x.cast("double")).alias("v"))
+
+
+def phrase_labels(spark: SparkSession, path: str) -> DataFrame:
+    """key and label of a file that is one object of labels; a file that can't be read, or isn't there, has none."""
+    none = spark.createDataFrame([], "key string, label string")
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return none
+    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "label")).unionByName(none)
+
+
+def decoded(spark: SparkSession, path: str, others: tuple[str, ...] = ("windows-1251",)) -> DataFrame:
+    """path and text of files: UTF-8 (a byte order mark is dropped), UTF-16 by its mark, else the first of the other encodings that has all their characters; null if none has."""
+
+    def text(raw: bytes) -> str | None:
+        if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
+            return raw.decode("utf-16", "replace")
+        for name in ("utf-8-sig", *others):
+            try:
+                return raw.decode(name)
+            except UnicodeDecodeError:
+                continue
+        return None
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text(x) for x in b.column(1).to_pylist()], pa.string())], names=["path", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string")
+
+
+def wordnet_sqlite(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
+    """The rows of a statement over a wordnet's SQLite file, read in pieces by one task; the file has to be where executors can read it."""
+
+    def run(batches):
+        import sqlite3
+
+        import pyarrow as pa
+
+        for _ in batches:
+            con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+            rows = con.execute(sql)
+            names = [c[0] for c in rows.description]
+            while part := rows.fetchmany(10_000):
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part])
+            con.close()
+
+    return spark.range(1).coalesce(1).mapInArrow(run, schema)
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Flat columns with a header; arrays joined by semicolons."""
+    flat = [F.array_join(F.transform(f.name, lambda x: x.cast("string")), ";").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema]
+    df.select(*flat).write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(path)
