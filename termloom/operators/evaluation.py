@@ -52,7 +52,7 @@ def describe(df: DataFrame, by: str, x: str) -> DataFrame:
 def inliers(df: DataFrame, by: str, x: str) -> DataFrame:
     """Rows within 1.5 interquartile ranges of the quartiles of their group."""
     q = df.groupBy(by).agg(F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.75)).alias("q3"))
-    return df.join(F.broadcast(q), by).where(F.col(x).between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))).drop("q1", "q3")
+    return df.join(q, by).where(F.col(x).between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))).drop("q1", "q3")
 
 
 def folds(df: DataFrame, label: str, key: str, n: int = 10) -> DataFrame:

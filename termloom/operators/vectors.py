@@ -53,13 +53,13 @@ def topic_counts(matched: DataFrame, vectors: DataFrame, share: float, limit: in
     """id, n topics and tag_match (0 < n < limit) after topics matched by more than a share of the rows are dropped."""
     most = F.floor(F.count("*") * share).alias("most")
     common = matched.groupBy("topic").agg(F.count("*").alias("n")).join(F.broadcast(vectors.agg(most)), F.col("n") > F.col("most"), "left_semi").select("topic")
-    left = matched.join(F.broadcast(common), "topic", "left_anti").groupBy("id").agg(F.count("*").alias("n"))
+    left = matched.join(common, "topic", "left_anti").groupBy("id").agg(F.count("*").alias("n"))
     return vectors.select("id").join(left, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)).between(1, limit - 1)).alias("tag_match"))
 
 
 def centrality(vectors: DataFrame, by: str) -> DataFrame:
     """Mean cosine with, and mean closeness 1 / (1 + distance) to, the group's centroid."""
-    j = vectors.join(F.broadcast(centroids(vectors, by)), by)
+    j = vectors.join(centroids(vectors, by), by)
     return j.groupBy(by).agg(F.round(F.avg(V.cosine(F.col("v"), F.col("c"))), 6).alias("cos"), F.round(F.avg(1 / (1 + V.euclidean(F.col("v"), F.col("c")))), 6).alias("closeness"))
 
 

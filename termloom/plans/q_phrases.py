@@ -135,3 +135,34 @@ def merge_similar(spark, d):
 @register(f"SELECT t.noun, count(*) AS phrases, round(avg(t.f), 8) AS mean_f, round(max(t.f), 8) AS max_f, round(min(t.f), 8) AS min_f FROM (SELECT unnest(list_distinct(string_split(key, ' '))) AS noun, frequency AS f FROM ({CLUSTERS} SELECT key, frequency FROM c)) t GROUP BY t.noun HAVING count(*) > 1")
 def one_word_terms(spark, d):
     return C.one_word_terms(C.clusters(occurrences(spark, d), read(spark, d, "documents")))
+
+
+SHAPES = patterns.parse('''
+name: "A + N" body: {
+  w:d ADJ | rec
+  w:h NOUN
+}
+name: "P + (A + N)" body: {
+  w:i ADP
+  m:h "A + N"
+}
+name: "(A + N) + P + (A + N)" body: {
+  m:h "A + N"
+  w:i ADP
+  m:d "A + N"
+}
+name: "(A + N) + P + N" body: {
+  m:h "A + N"
+  w:i ADP
+  w:d NOUN
+}
+''')
+
+
+@register(f"""{SPANS} SELECT a.doc_id, a.sent_no, a."start" - 1 AS "start", a."end", 'P + (A + N)' AS model FROM an a JOIN k u ON a.doc_id = u.doc_id AND a.sent_no = u.sent_no AND a."start" - 1 = u.pos AND u.adp WHERE u.pos > 0
+UNION SELECT a.doc_id, a.sent_no, a."start", b."end", '(A + N) + P + (A + N)' FROM an a JOIN k u ON a.doc_id = u.doc_id AND a.sent_no = u.sent_no AND a."end" + 1 = u.pos AND u.adp JOIN an b ON a.doc_id = b.doc_id AND a.sent_no = b.sent_no AND a."end" + 2 = b."start"
+UNION SELECT a.doc_id, a.sent_no, a."start", v.pos, '(A + N) + P + N' FROM an a JOIN k u ON a.doc_id = u.doc_id AND a.sent_no = u.sent_no AND a."end" + 1 = u.pos AND u.adp JOIN k v ON a.doc_id = v.doc_id AND a.sent_no = v.sent_no AND a."end" + 2 = v.pos AND v.noun""")
+def pattern_shapes(spark, d):
+    """The other shapes of a pattern with an inner one: word first, word between, words behind."""
+    t = patterns.usable(tagged(spark, d))
+    return patterns.complex_spans(t, patterns.simple_spans(t, SHAPES), SHAPES)
