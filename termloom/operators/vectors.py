@@ -1,29 +1,94 @@
 """Nearest neighbours, topics and centrality over vectors."""
 
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import vectors as V
 
-BLOCK = 5_000
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the repository
+
+#: Queries that are sent out at once; vectors multiplied with them at once.
+BLOCK, STRIP = 5_000, 1_000
+
+
+class Best:
+    """The k nearest vectors of each query so far, by cosine to six places, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, k: int, own: bool):
+        self.ids, self.units, self.k, self.own = ids, units, k, own
+        self.least = np.full(len(ids), -np.inf)
+        self.held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]  # query's place, similarity, id
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def offer(self, ids: np.ndarray, units: np.ndarray) -> None:
+        sims = np.floor(self.units @ units.T * 1e6 + 0.5) / 1e6
+        near = sims >= self.least[:, None]
+        if not self.own:
+            near &= self.ids[:, None] != ids
+        q, c = np.nonzero(near)
+        self.new.append((q, sims[q, c], ids[c]))
+        self.waiting += len(q)
+        if self.waiting > 2 * self.k * len(self.ids):
+            self.cut()
+
+    def cut(self) -> None:
+        q, sim, ids = (np.concatenate([x, *y]) for x, y in zip(self.held, zip(*self.new, strict=True) if self.new else ([],) * 3, strict=True))
+        order = np.lexsort((ids, -sim, q))
+        q, sim, ids = q[order], sim[order], ids[order]
+        first = np.searchsorted(q, q)
+        keep = np.arange(len(q)) - first < self.k
+        self.held, self.new, self.waiting = [q[keep], sim[keep], ids[keep]], [], 0
+        full = np.arange(len(q)) - first == self.k - 1
+        self.least[q[full]] = sim[full]
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    """Vectors of one length, each of length one, or zero where it has none."""
+    x = np.array(vectors, dtype=np.float64)
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, own: bool = False) -> DataFrame:
     """query_id, id, sim: the k nearest rows of (id, v) by cosine for each query row; ties to the smaller id.
 
-    Queries meet the vectors in blocks of BLOCK that are sent out; what a task finds is
-    cut to k a query before the shuffle.
+    Queries go out in blocks of BLOCK; a task multiplies them with its vectors and keeps k
+    a query, so that is what is shuffled.  Null ids and vectors take no part; vectors are of
+    one length, a whole number is an id.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
+    spark = vectors.sparkSession
+    usable = lambda df: df.select(F.col("id").cast("long"), V.doubles(F.col("v")).alias("v")).where("id is not null and v is not null")
+    queries, vectors = usable(queries), usable(vectors)
+    blocks = max(1, -(-queries.count() // BLOCK))
     out = None
     for i in range(blocks):
-        q = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-        pair = vectors.join(F.broadcast(q), F.lit(True) if own else F.col("id") != F.col("query_id"))
-        part = pair.select("query_id", "id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("sim"))
+        q = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()
+        sent = spark.sparkContext.broadcast((np.array([r["id"] for r in q], np.int64), unit_rows([r["v"] for r in q]) if q else None))
+
+        def run(batches, sent=sent):
+            import pyarrow as pa
+
+            ids, units = sent.value
+            if units is None:
+                return
+            best = Best(ids, units, k, own)
+            for b in batches:
+                for at in range(0, b.num_rows, STRIP):
+                    part = b.slice(at, STRIP)
+                    best.offer(np.array(part.column(0), dtype=np.int64), unit_rows(part.column(1).to_pylist()))
+            best.cut()
+            at, sim, found = best.held
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(sim)], names=["query_id", "id", "sim"])
+
+        part = vectors.mapInArrow(run, "query_id long, id long, sim double")
         out = part if out is None else out.unionAll(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("sim", F.round("sim", 6)).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def lsh_pairs(vectors: DataFrame, radius: float, bucket: float = 1.0, tables: int = 3, seed: int = 1) -> DataFrame:

@@ -96,3 +96,15 @@ def test_word_vectors(spark):
 def test_normalized_levenshtein(spark):
     r = spark.range(1).select(V.normalized_levenshtein(F.lit("kitten"), F.lit("sitting")).alias("a"), V.normalized_levenshtein(F.lit(""), F.lit("")).alias("b")).first()
     assert r["a"] == pytest.approx(3 / 7) and r["b"] == 0
+
+
+def test_knn_ties_and_own(spark):
+    from termloom.operators import vectors as O
+
+    df = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(40)] + [(99, [0.0, 0.0]), (None, [1.0, 0.0]), (98, None)], "id long, v array<double>").repartition(3)
+    for own in (False, True):
+        got = O.knn(df.where("id in (0, 1)"), df, 5, own).orderBy("query_id", "rank").collect()
+        for q in (0, 1):
+            same = [i for i in range(q, 40, 3) if own or i != q][:5]
+            assert [(r["id"], r["sim"]) for r in got if r["query_id"] == q] == [(i, 1.0) for i in same]
+    assert O.knn(df.limit(0), df, 5).count() == 0
