@@ -206,7 +206,13 @@ def collect_phrases(tokens: DataFrame, patterns: list[Pattern], stop: DataFrame
     Every pattern reads the tokens and the simple spans, so both are kept (in memory, else
     on disk; lost parts are made again) until the caller clears the cache.
     """
+    t, simple, wide = spans_of(tokens, patterns, stop, validate, max_run)
+    return occurrences(t, simple.unionByName(wide))
+
+
+def spans_of(tokens: DataFrame, patterns: list[Pattern], stop: DataFrame | None = None, validate: bool = True, max_run: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The usable tokens, the spans of simple patterns and those of complex ones; the first two kept."""
     t = usable(tokens, stop).repartition(*SENTENCE).persist(StorageLevel.MEMORY_AND_DISK)
     simple = simple_spans(t, patterns, max_run).persist(StorageLevel.MEMORY_AND_DISK)
     wide = complex_spans(t, simple, patterns, max_run)
-    return occurrences(t, simple.unionByName(longest(wide) if validate else wide))
+    return t, simple, longest(wide) if validate else wide

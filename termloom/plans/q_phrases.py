@@ -77,8 +77,7 @@ def simple_phrases(spark, d):
 
 @register(f'{SPANS} SELECT doc_id, sent_no, "start", "end", model FROM v')
 def complex_phrases(spark, d):
-    t = patterns.usable(tagged(spark, d))
-    return patterns.longest(patterns.complex_spans(t, patterns.simple_spans(t, PATTERNS), PATTERNS))
+    return patterns.spans_of(tagged(spark, d), PATTERNS)[2]
 
 
 KEYS = f"""{SPANS}, e AS (SELECT *, unnest(range("start", "end" + 1))::INTEGER AS pos FROM o),
@@ -164,5 +163,4 @@ UNION SELECT a.doc_id, a.sent_no, a."start", b."end", '(A + N) + P + (A + N)' FR
 UNION SELECT a.doc_id, a.sent_no, a."start", v.pos, '(A + N) + P + N' FROM an a JOIN k u ON a.doc_id = u.doc_id AND a.sent_no = u.sent_no AND a."end" + 1 = u.pos AND u.adp JOIN k v ON a.doc_id = v.doc_id AND a.sent_no = v.sent_no AND a."end" + 2 = v.pos AND v.noun""")
 def pattern_shapes(spark, d):
     """The other shapes of a pattern with an inner one: word first, word between, words behind."""
-    t = patterns.usable(tagged(spark, d))
-    return patterns.complex_spans(t, patterns.simple_spans(t, SHAPES), SHAPES)
+    return patterns.spans_of(tagged(spark, d), SHAPES, validate=False)[2]
