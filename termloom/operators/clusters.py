@@ -14,9 +14,14 @@ def clusters(occ: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def contexts(occ: DataFrame, sentences: DataFrame) -> DataFrame:
-    """key, context (md5 of its sentences joined by ' | ') and their number."""
-    j = occ.join(sentences, ["doc_id", "sent_no"]).groupBy("key").agg(F.array_sort(F.collect_set("sentence")).alias("s"))
-    return j.select("key", F.md5(F.array_join("s", " | ")).alias("context"), F.size("s").cast("long").alias("n"))
+    """key, sentence: the distinct sentences of each key, one a row, as a frequent key has too many for one."""
+    return occ.join(sentences, ["doc_id", "sent_no"]).select("key", "sentence").distinct()
+
+
+def context_digests(contexts: DataFrame) -> DataFrame:
+    """key, the number of its contexts and a digest of them in any order: the sum of the leading 48 bits of their md5."""
+    head = F.conv(F.substring(F.md5("sentence"), 1, 12), 16, 10).cast("decimal(38,0)")
+    return contexts.groupBy("key").agg(F.sum(head).cast("string").alias("context"), F.count("*").alias("n"))
 
 
 def select_terms(clusters: DataFrame, tfidf: DataFrame, threshold: float = 0.0000088, max_frequency: float = 1.0) -> DataFrame:

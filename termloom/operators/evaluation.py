@@ -44,15 +44,47 @@ def auc(scored: DataFrame) -> DataFrame:
     return running(scored).agg(F.round(won / (F.sum("pos") * F.sum("neg")), 8).alias("auc"))
 
 
+#: A sketch's error is 1 / ACCURACY of a group's rows; groups of no more rows are sorted whole.
+ACCURACY = 10_000
+
+
+def quantiles(df: DataFrame, by: str, x: str, shares: list[float]) -> DataFrame:
+    """by and q0, q1, ...: exact interpolated quantiles of each group's values that are not null.
+
+    A sketch bounds each quantile, then the rows below the bounds are counted and only
+    the distinct values between them are put in order: some ten-thousandths of the group.
+    """
+    rows = df.select(F.col(by).alias("_g"), F.col(x).cast("double").alias("_x")).where("_x IS NOT NULL")
+    at = lambda p: F.percentile_approx("_x", F.lit(min(1.0, max(0.0, p))), F.lit(ACCURACY))
+    slack = 3 / ACCURACY
+    few = F.count("*") <= ACCURACY
+    ends = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.when(~few, at(p - slack)).alias("low"), F.when(~few, at(p + slack)).alias("high")) for i, p in enumerate(shares)]
+    bounds = rows.groupBy(F.col("_g").alias("_h")).agg(F.count("*").alias("_n"), F.array(*ends).alias("_ends"))
+    # Values below a bound fall together before the shuffle, as one value a quantile.
+    near = rows.join(bounds, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_x", "_n", F.explode(F.filter("_ends", lambda e: e["high"].isNull() | (F.col("_x") <= e["high"]))).alias("_e"))
+    value = F.when(F.col("_e.low").isNull() | (F.col("_x") >= F.col("_e.low")), F.col("_x"))
+    counts = near.groupBy("_g", F.col("_e.i").alias("i"), value.alias("v")).agg(F.count("*").alias("c"), F.first("_n").alias("n"), F.first("_e.p").alias("p"))
+    upto = F.sum("c").over(Window.partitionBy("_g", "i").orderBy(F.asc_nulls_first("v")))
+    place = F.col("p") * (F.col("n") - 1)
+    ranked = counts.withColumn("upto", upto).where("v IS NOT NULL").withColumn("place", place)
+    nth = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    part = F.first(F.col("place") - F.floor("place"))
+    one = ranked.groupBy("_g", "i").agg((nth(F.floor("place")) * (1 - part) + nth(F.ceil("place")) * part).alias("q"))
+    return one.groupBy(F.col("_g").alias(by)).agg(*(F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(shares))))
+
+
 def describe(df: DataFrame, by: str, x: str) -> DataFrame:
-    q = [F.percentile(x, F.lit(p)) for p in (0.25, 0.5, 0.75)]
-    return df.groupBy(by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("sd"), F.round(F.min(x), 6).alias("low"), *(F.round(v, 6).alias(n) for v, n in zip(q, ("q1", "q2", "q3"), strict=True)), F.round(F.max(x), 6).alias("high"))
+    """Count, mean, deviation, extremes and quartiles of each group."""
+    plain = df.groupBy(by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("sd"), F.round(F.min(x), 6).alias("low"), F.round(F.max(x), 6).alias("high"))
+    q = quantiles(df, by, x, [0.25, 0.5, 0.75]).withColumnRenamed(by, "_by")
+    return plain.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "sd", "low", *(F.round(f"q{i}", 6).alias(f"q{i + 1}") for i in range(3)), "high")
 
 
 def inliers(df: DataFrame, by: str, x: str) -> DataFrame:
     """Rows within 1.5 interquartile ranges of the quartiles of their group."""
-    q = df.groupBy(by).agg(F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.75)).alias("q3"))
-    return df.join(q, by).where(F.col(x).between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))).drop("q1", "q3")
+    q = quantiles(df, by, x, [0.25, 0.75]).withColumnRenamed(by, "_by")
+    reach = 1.5 * (F.col("q1") - F.col("q0"))
+    return df.join(q, F.col(by) == F.col("_by")).where(F.col(x).between(F.col("q0") - reach, F.col("q1") + reach)).drop("q0", "q1", "_by")
 
 
 def folds(df: DataFrame, label: str, key: str, n: int = 10) -> DataFrame:

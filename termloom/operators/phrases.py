@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.operators.ordered import in_ranges, running_count, with_neighbour
 
 
 def inverse_rarity(phrases: DataFrame) -> DataFrame:
@@ -21,16 +22,10 @@ def grouped(phrases: DataFrame) -> DataFrame:
 
 
 def merge_similar(clusters: DataFrame) -> DataFrame:
-    """Islands of neighbouring similar keys, named by their first: head, n keys, summed count.
-
-    Similar keys share their first five bytes (a shorter first word is equal, and a longer
-    one's stem has five at least), so the keys are dealt by those.
-    """
-    stem = F.substring(F.encode("key", "UTF-8"), 1, 5)
-    w = Window.partitionBy("stem").orderBy("key")
-    marked = clusters.withColumn("stem", stem).withColumn("new", (~T.keys_similar(F.lag("key").over(w), F.col("key"))).cast("int"))
-    island = marked.withColumn("island", F.sum("new").over(w))
-    return island.groupBy("stem", "island").agg(F.min("key").alias("head"), F.count("*").alias("n"), F.sum("cnt").alias("cnt")).select("head", "n", "cnt")
+    """Islands of neighbouring similar keys, named by their first: head, n keys, summed count."""
+    parts = with_neighbour(in_ranges(clusters.select("key", "cnt"), "key"), "key", ["key"], "prev")
+    island = running_count(parts, "key", ~F.coalesce(T.keys_similar(F.col("prev.key"), F.col("key")), F.lit(False)))
+    return island.groupBy("_run").agg(F.min("key").alias("head"), F.count("*").alias("n"), F.sum("cnt").alias("cnt")).select("head", "n", "cnt")
 
 
 def prefix_roots(keys: DataFrame) -> DataFrame:
@@ -163,11 +158,9 @@ def prefix_exclusion(clusters: DataFrame, first: tuple, second: tuple, third: st
     A key of a model in `first` goes, with its right neighbour in sorted order, if that
     one starts with it, is of the paired model, has a rest (without its first word) of
     model `third` among the keys, the key is off-centre, and one of the three is rare by
-    tf-idf.  A key and its extension share their first word, so neighbours are looked for
-    among the keys of one first word.
+    tf-idf.
     """
-    w = Window.partitionBy(F.substring_index("key", " ", 1)).orderBy("key")
-    nxt = clusters.withColumn("n", F.lead(F.struct("key", "model", "tfidf")).over(w))
+    nxt = with_neighbour(in_ranges(clusters, "key"), "key", ["key", "model", "tfidf"], "n", after=True)
     paired = F.lit(False)
     for a, b in zip(first, second, strict=True):
         paired = paired | ((F.col("model") == a) & (F.col("n.model") == b))
