@@ -414,12 +414,12 @@ def decode_all(model: Model, ids: np.ndarray, offsets: np.ndarray) -> list[bytes
     return [raw[a + 1 : z] for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
-def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most SLICE bytes of text (column 1), a longer text alone."""
+def slices(b: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most so many bytes of text (column 1), a longer text alone."""
     sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
     first = size = 0
     for i, n in enumerate(sizes):
-        if i > first and size + n > SLICE:
+        if i > first and size + n > most:
             yield b.slice(first, i - first)
             first, size = i, 0
         size += n
@@ -427,7 +427,7 @@ def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(first)
 
 
-def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, seed: int = 0, rate: float = DROPOUT, with_text: bool = True, turn_col: str | None = None, keep_runs: int = KEEP_RUNS) -> DataFrame:
+def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, seed: int = 0, rate: float = DROPOUT, with_text: bool = True, turn_col: str | None = None, keep_runs: int = KEEP_RUNS, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, pieces (array of piece ids), lossless (they decode to the text) and, if asked for, decoded of each row."""
     spark = small_batches(df).sparkSession
     model = spark.sparkContext.broadcast(Model(model_path).__dict__)  # a fixed vocabulary
@@ -437,7 +437,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         m.__dict__.update(model.value)
         encoder = Encoder(m, seed, rate, keep_runs)
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, slice_bytes):
                 texts = as_bytes(b.column(1))
                 keys = [doc_key(i, k, seed) for i, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
                 ids, offsets = encoder.encode(texts, keys)
