@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and piece ids of each row, and whether they decode to its text."""
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())  # repeats of a document get segmentations of their own
-    out = pieces.encode_documents(rows, with_text=False, turn_col=ROW, keep_runs=150_000)
+    out = pieces.encode_documents(rows, with_text=False, turn_col=ROW, keep_runs=150_000, slice_bytes=500_000)
     return out.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "lossless")
 
 
