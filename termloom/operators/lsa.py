@@ -14,18 +14,30 @@ def term_doc(docs: DataFrame, min_bytes: int = 6, min_count: int = 2) -> DataFra
     return corpus.tokens(docs).groupBy("w", "doc_id").agg(F.count("*").alias("n")).join(keep, "w", "left_semi")
 
 
+#: Columns of the term matrix at most.
+WIDTH = 2048
+
+
 def svd(counts: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     """(w, u) with u the first k left singular directions times sigma, and the singular values.
 
-    Rows stay sparse and distributed; columns are hashed documents where they pass WIDTH,
-    so the Gram matrix keeps a bounded size. Signs: each direction's largest component
-    is positive.
+    Rows stay sparse and distributed.  Up to WIDTH documents have a column each; more are
+    hashed into WIDTH columns, so the Gram matrix keeps a bounded size. Signs: each
+    direction's largest component is positive.
     """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    width = 2048
-    cells = counts.groupBy("w", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int").alias("col")).agg(F.sum("n").cast("double").alias("n"))
+    docs = counts.select("doc_id").distinct()
+    n = docs.limit(WIDTH + 1).count()
+    if n <= WIDTH:
+        width = max(1, n)
+        at = docs.select(F.col("doc_id"), (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("col"))
+        counts = counts.join(F.broadcast(at), "doc_id")
+    else:
+        width = WIDTH
+        counts = counts.withColumn("col", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int"))
+    cells = counts.groupBy("w", "col").agg(F.sum("n").cast("double").alias("n"))
     rows = cells.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("col", "n"))).alias("cells"))
     rdd = rows.rdd.map(lambda r: (r["w"], Vectors.sparse(width, [c["col"] for c in r["cells"]], [c["n"] for c in r["cells"]]))).cache()
     model = RowMatrix(rdd.map(lambda x: x[1])).computeSVD(k, computeU=False)
