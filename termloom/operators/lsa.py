@@ -31,7 +31,7 @@ def svd(counts: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     docs = counts.select("doc_id").distinct()
     n = docs.limit(WIDTH + 1).count()
     if n <= WIDTH:
-        width = max(1, n)
+        width = max(k, n)  # columns without documents add nothing
         at = docs.select(F.col("doc_id"), (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("col"))
         counts = counts.join(F.broadcast(at), "doc_id")
     else:
