@@ -1,3 +1,4 @@
+import json
 from itertools import product
 from pathlib import Path
 from string import ascii_lowercase
@@ -6,7 +7,7 @@ import duckdb
 import pytest
 
 from tests.oracle import by_spark, by_sql
-from termloom.operators import clusters, patterns, tagging
+from termloom.operators import clusters, patterns, publish, tagging
 from termloom.plans import catalogue, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +29,7 @@ def long_sentence(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["cluster_contexts"])
+@pytest.mark.parametrize("name", ["cluster_contexts", "cluster_json"])
 def test_a_long_sentence_of_many_spans(spark, long_sentence, name):
     got = by_spark(registry.QUERIES[name](spark, long_sentence))
     spark.catalog.clearCache()
@@ -36,13 +37,31 @@ def test_a_long_sentence_of_many_spans(spark, long_sentence, name):
     assert got == by_sql(registry.ORACLE_SQL[name], long_sentence)
 
 
-def test_spans_are_not_broadcast(spark):
+@pytest.fixture
+def few(spark):
+    """Three occurrences, few enough to be broadcast."""
     tokens = tagging.tag(spark.createDataFrame([(1, 0, 0, "red"), (1, 0, 1, "cats"), (2, 0, 0, "cats")], "doc_id long, sent_no int, pos int, w string"))
     spans = spark.createDataFrame([(1, 0, 0, 1, "m"), (1, 0, 1, 1, "m"), (2, 0, 0, 0, "m")], "doc_id long, sent_no int, start int, end int, model string")
-    occ = patterns.occurrences(tokens, spans)
-    assert sorted((r["key"], r["text_form"], r["doc_id"], r["start"]) for r in occ.collect()) == [("cats", "cats", 1, 1), ("cats", "cats", 2, 0), ("red cats", "red cats", 1, 0)]
-    plan = occ._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    return patterns.occurrences(tokens, spans)
+
+
+def merged(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_spans_are_not_broadcast(few):
+    assert sorted((r["key"], r["text_form"], r["doc_id"], r["start"]) for r in few.collect()) == [("cats", "cats", 1, 1), ("cats", "cats", 2, 0), ("red cats", "red cats", 1, 0)]
+    assert merged(few)
+
+
+def test_json_of_clusters_broadcasts_no_spans(few):
+    j = publish.cluster_json(few)
+    got = {r["key"]: json.loads(r["json"]) for r in j.collect()}
+    at = lambda d, s, e: {"start": s, "end": e, "doc_id": d, "sent_no": 0}
+    phrase = lambda t, *where: {"phrases_count": len(where), "phrases": [{"text_form": t, "position": at(*w)} for w in where]}
+    assert got == {"cats": phrase("cats", (2, 0, 0), (1, 1, 1)), "red cats": phrase("red cats", (1, 0, 1))}
+    assert merged(j)
 
 
 def test_links_hold_no_sentence(spark):
