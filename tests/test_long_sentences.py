@@ -1,4 +1,6 @@
 import json
+import subprocess
+import sys
 from itertools import product
 from pathlib import Path
 from string import ascii_lowercase
@@ -6,7 +8,7 @@ from string import ascii_lowercase
 import duckdb
 import pytest
 
-from tests.oracle import by_spark, by_sql
+from tests.oracle import by_spark, by_sql, rows
 from termloom.operators import clusters, patterns, publish, tagging
 from termloom.plans import catalogue, registry  # noqa: F401
 
@@ -37,6 +39,25 @@ def test_a_long_sentence_of_many_spans(spark, long_sentence, name):
     assert got == by_sql(registry.ORACLE_SQL[name], long_sentence)
 
 
+#: Writes a query's rows of a directory as parquet to another, by a driver of its own with a small heap.
+SMALL = """
+import sys
+from pyspark.sql import SparkSession
+from termloom.plans import catalogue, registry
+name, d, out = sys.argv[1:]
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "1g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+registry.QUERIES[name](spark, d).write.parquet(out)
+"""
+
+
+def test_clusters_of_a_long_sentence_become_json_in_a_small_heap(long_sentence, tmp_path):
+    out = tmp_path / "out.parquet"
+    run = subprocess.run([sys.executable, "-c", SMALL, "cluster_json", long_sentence, str(out)], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    r = duckdb.sql(f"FROM '{out}/*.parquet'")
+    assert (sorted(r.columns), rows(r.columns, r.fetchall())) == by_sql(registry.ORACLE_SQL["cluster_json"], long_sentence)
+
+
 @pytest.fixture
 def few(spark):
     """Three occurrences, few enough to be broadcast."""
