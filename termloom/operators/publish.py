@@ -13,6 +13,13 @@ def cluster_json(occ: DataFrame) -> DataFrame:
     return rows.select("key", F.to_json(F.struct("phrases_count", "phrases")).alias("json"))
 
 
+def grouped_json(groups: DataFrame) -> DataFrame:
+    """cluster_json() from rows of (key, places), of spans whose text is their key."""
+    rows = groups.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    phrases = F.transform("places", lambda p: F.struct(F.col("key").alias("text_form"), p.alias("position")))
+    return rows.select("key", F.to_json(F.struct(F.size("places").cast("long").alias("phrases_count"), phrases.alias("phrases"))).alias("json"))
+
+
 def escape(text):
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from termloom.operators import clusters as C
 from termloom.operators import evaluation as E
+from termloom.operators import patterns
 from termloom.operators import phrases as P
 from termloom.operators import relations as R
-from termloom.plans.q_phrases import CLUSTERS, KEYS, STATS, occurrences
+from termloom.plans.q_phrases import CLUSTERS, KEYS, PATTERNS, STATS, key_clusters, tagged
 from termloom.plans.q_relations import EDGES, edges
 from termloom.plans.q_text import read
 from termloom.plans.q_vectors import VEC, vectors
@@ -194,19 +195,18 @@ def low_tfidf_phrases(spark, d):
     from termloom.operators import corpus
 
     docs = read(spark, d, "documents")
-    c = C.clusters(occurrences(spark, d), docs).select("key", "cnt", F.lit(0.0).alias("topic_relevance"))
-    words = c.select("key", F.explode(F.array_distinct(F.split("key", " "))).alias("w")).join(corpus.tfidf(docs).select("w", "tfidf"), "w")
-    return C.low_tfidf_phrases(c, words, 0.0001)
+    c = key_clusters(spark, d).select("key", "cnt", F.lit(0.0).alias("topic_relevance"))
+    return C.low_tfidf_phrases(c, corpus.tfidf(docs), 0.0001)
 
 
 @register(f"{CLUSTERS} SELECT key, cnt FROM c WHERE list_contains(string_split(key, ' '), 'of')")
 def lemma_search(spark, d):
-    return C.with_lemma(C.clusters(occurrences(spark, d), read(spark, d, "documents")), "of").select("key", "cnt")
+    return C.with_lemma(key_clusters(spark, d), "of").select("key", "cnt")
 
 
 @register(f"{KEYS}, l AS (SELECT doc_id, sent_no, \"start\", \"end\", model, key, lag(key) OVER (PARTITION BY doc_id, sent_no ORDER BY \"start\", \"end\", model) AS prev FROM q) SELECT doc_id, sent_no, \"start\", \"end\", model, key FROM l WHERE key IS DISTINCT FROM prev")
 def without_repeats(spark, d):
-    return P.without_repeats(occurrences(spark, d).select("doc_id", "sent_no", "start", "end", "model", "key"), "key")
+    return patterns.keyed(tagged(spark, d), PATTERNS, repeats=False).select("doc_id", "sent_no", "start", "end", "model", "key")
 
 
 ROWS = "SELECT CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || 's' ELSE p_brand || ' ' || p_name END AS phrase, p_size AS n, p_retailprice AS score, p_brand AS tag FROM part"

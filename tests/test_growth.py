@@ -31,3 +31,66 @@ def test_lsh_pairs_makes_no_row_for_a_candidate(spark, monkeypatch):
 def test_lsh_pairs_of_other_ids(spark):
     df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.1]), ("a", [1.0, 0.1]), ("c", [-1.0, 0.0]), (None, [1.0, 0.0])], "id string, v array<double>")
     assert [(r["a"], r["b"]) for r in O.lsh_pairs(df, 0.5).collect()] == [("a", "b")]
+
+
+def test_phrases_move_no_token(spark):
+    """Spans come from the sentences where they are read: no exchange but of the keys, no window, no join of tokens."""
+    from termloom.plans import catalogue, registry  # noqa: F401
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("simple_phrases", "complex_phrases", "pattern_shapes", "without_repeats"):
+        p = plan(registry.QUERIES[name](spark, sf))
+        assert "Exchange" not in p and "Window" not in p and "Join" not in p, name
+    p = plan(registry.QUERIES["clusters"](spark, sf))
+    assert "SortAggregate" not in p and "SortMergeJoin" not in p and "Window" not in p
+    spark.catalog.clearCache()
+
+
+def test_matcher_equals_the_steps_by_windows_and_joins(spark, monkeypatch):
+    import random
+
+    from termloom.operators import matching, patterns, tagging
+
+    monkeypatch.setattr(matching, "SPANS", 5)  # many pieces
+    monkeypatch.setattr(matching, "BYTES", 40)
+    draw = random.Random(9)
+    words = ["able", "ugly", "cats", "dog", "nation", "of", "in", "the", "x", "running"]
+    rows = [(d, s, p, draw.choice(words)) for d in range(40) for s in range(3) for p in range(draw.randrange(1, 14))]
+    tokens = spark.createDataFrame(rows, "doc_id long, sent_no int, pos int, w string").coalesce(1)
+    own = patterns.parse("""
+    name: "A + N" body: {
+      w:d ADJ | rec
+      w:h NOUN
+    }
+    name: "N + Gen" body: {
+      w:h NOUN
+      w:d NOUN [Case=Gen] | rec
+    }
+    name: "N + P + N + Gen" body: {
+      w:h NOUN
+      w:i ADP
+      m:d "N + Gen"
+    }
+    name: "(A + N) + Gen" body: {
+      m:h "A + N"
+      w:d NOUN [Case=Gen] | rec
+    }
+    name: "(A + N) + P + (N + Gen)" body: {
+      m:h "A + N"
+      w:i ADP
+      m:d "N + Gen"
+    }
+    """)
+    t = patterns.usable(tagging.tag(tokens))
+    simple = patterns.simple_spans(t, own)
+    wide = patterns.complex_spans(t, simple, own)
+    plain = lambda df: sorted(tuple(r[c] for c in ("doc_id", "sent_no", "start", "end", "model")) for r in df.collect())
+    ready = tagging.tag_plain(tokens)
+    assert plain(patterns.spans(ready, own, wide=False)) == plain(simple)
+    assert plain(patterns.spans(ready, own, simple=False, validate=False)) == plain(wide)
+    longest = patterns.longest(wide)
+    assert len(plain(longest)) > 5
+    assert plain(patterns.spans(ready, own, simple=False)) == plain(longest)
+    full = patterns.occurrences(t, simple.unionByName(longest))
+    for got in (patterns.keyed(ready, own), patterns.collect_phrases(tagging.tag(tokens), own)):
+        assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, full.select(sorted(full.columns)).collect()))
