@@ -94,3 +94,38 @@ def test_matcher_equals_the_steps_by_windows_and_joins(spark, monkeypatch):
     full = patterns.occurrences(t, simple.unionByName(longest))
     for got in (patterns.keyed(ready, own), patterns.collect_phrases(tagging.tag(tokens), own)):
         assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, full.select(sorted(full.columns)).collect()))
+
+
+def test_knn_holds_little_of_many_queries():
+    import tracemalloc
+
+    draw = np.random.default_rng(2)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(draw.normal(size=(n, 8)))
+    queries, vectors = unit(5000), unit(3000)
+    tracemalloc.start()
+    got = list(O.nearest(np.arange(5000), queries, 10, False, ((np.arange(i, i + 1000) + 10_000, vectors[i : i + 1000]) for i in range(0, 3000, 1000))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    query, found, sim = (np.concatenate(c) for c in zip(*got, strict=True))
+    at = query == 4321
+    sims = np.floor(vectors @ queries[4321] * 1e6 + 0.5) / 1e6
+    assert sorted(found[at]) == sorted(np.lexsort((np.arange(3000), -sims))[:10] + 10_000)
+
+
+def test_length_correlation_moves_no_text(spark):
+    from termloom.plans import catalogue, registry  # noqa: F401
+
+    p = plan(registry.QUERIES["length_correlation"](spark, "/root/testdata/sf0.001"))
+    assert "min(text" not in p and "SortAggregate" not in p
+    below = [line for line in p.splitlines() if "Exchange" in line]
+    assert below and not any("text#" in line for line in below)
+
+
+def test_svd_makes_one_pass(spark, monkeypatch):
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from termloom.operators import lsa
+
+    monkeypatch.delattr(RowMatrix, "computeSVD")
+    u, s = lsa.svd(spark.createDataFrame([("a", 1, 2), ("b", 2, 1)], "w string, doc_id long, n long"), 2)
+    assert np.allclose(s, [2, 1]) and {r["w"]: [round(x, 9) for x in r["u"]] for r in u.collect()} == {"a": [2.0, 0.0], "b": [0.0, 1.0]}
